@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from spreadgraph.llm.exact import exact_dedup
 from spreadgraph.llm.mixing import mix_sources
 from spreadgraph.llm.shard import shard_records
+from spreadgraph.llm.toxicity import score_toxicity, train
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a factorization machine fitted on labelled rows that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poisson replication of every document to source shares of mass ** 0.5."""
     out = mix_sources(_read(spark, sf_dir, "documents"))
@@ -33,7 +40,7 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mix_sources, op6_exact_dedup, op9_rendezvous_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op5_mix_sources, op6_exact_dedup, op9_rendezvous_shards)}
 
 
 OP5_SQL = """
