@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadgraph.llm.exact import exact_dedup
+from spreadgraph.llm.html import extract_main_text
 from spreadgraph.llm.mixing import mix_sources
+from spreadgraph.llm.packing import pack_documents
 from spreadgraph.llm.shard import shard_records
 from spreadgraph.llm.toxicity import score_toxicity, train
 
@@ -23,6 +25,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poisson replication of every document to source shares of mass ** 0.5."""
     out = mix_sources(_read(spark, sf_dir, "documents"))
@@ -34,13 +41,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over shards 0 to 39 by rendezvous hashing of the id."""
     return shard_records(_read(spark, sf_dir, "documents"), 40)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_mix_sources, op6_exact_dedup, op9_rendezvous_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op4_html_main_text, op5_mix_sources, op6_exact_dedup, op8_best_fit_packing, op9_rendezvous_shards)}
 
 
 OP5_SQL = """
