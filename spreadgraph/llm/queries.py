@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spreadgraph.llm.exact import exact_dedup
 from spreadgraph.llm.html import extract_main_text
 from spreadgraph.llm.mixing import mix_sources
+from spreadgraph.llm.neighbours import search_neighbours
 from spreadgraph.llm.packing import pack_documents
 from spreadgraph.llm.shard import shard_records
 from spreadgraph.llm.toxicity import score_toxicity, train
@@ -51,8 +52,13 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(_read(spark, sf_dir, "documents"), 40)
 
 
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every row whose id is divisible by 20."""
+    return search_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_html_main_text, op5_mix_sources, op6_exact_dedup, op8_best_fit_packing, op9_rendezvous_shards)}
+    return {f.__name__: f for f in (op1_toxicity, op4_html_main_text, op5_mix_sources, op6_exact_dedup, op8_best_fit_packing, op9_rendezvous_shards, op10_hilbert_neighbours)}
 
 
 OP5_SQL = """

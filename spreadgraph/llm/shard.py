@@ -39,8 +39,8 @@ def number_within(table: DataFrame, group: str, name: str) -> DataFrame:
     block = [group, "_file", "_block"]
     before = Window.partitionBy(group).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = at.groupBy(*block).agg(F.count("*").alias("_count")).withColumn("_start", F.coalesce(F.sum("_count").over(before), F.lit(0))).drop("_count")
-    numbered = at.withColumn("_rank", F.row_number().over(Window.partitionBy(*block).orderBy("_row")) - 1)
-    return numbered.join(starts, block).withColumn(name, (F.col("_start") + F.col("_rank")).cast("long")).drop("_file", "_row", "_block", "_rank", "_start")
+    numbered = at.withColumn("_in_block", F.row_number().over(Window.partitionBy(*block).orderBy("_row")) - 1)
+    return numbered.join(starts, block).withColumn(name, (F.col("_start") + F.col("_in_block")).cast("long")).drop("_file", "_row", "_block", "_in_block", "_start")
 
 
 def shard_records(docs: DataFrame, shards: int = 40, weights: Sequence[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
