@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spreadgraph.llm.exact import exact_dedup
 from spreadgraph.llm.html import extract_main_text
 from spreadgraph.llm.mixing import mix_sources
+from spreadgraph.llm.near import near_duplicates
 from spreadgraph.llm.neighbours import search_neighbours
 from spreadgraph.llm.packing import pack_documents
 from spreadgraph.llm.shard import shard_records
@@ -26,6 +27,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of Jaccard similarity 0.8 or more on five-word shingles."""
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_main_text(_read(spark, sf_dir, "pages"))
@@ -58,7 +64,7 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_html_main_text, op5_mix_sources, op6_exact_dedup, op8_best_fit_packing, op9_rendezvous_shards, op10_hilbert_neighbours)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op4_html_main_text, op5_mix_sources, op6_exact_dedup, op8_best_fit_packing, op9_rendezvous_shards, op10_hilbert_neighbours)}
 
 
 OP5_SQL = """
@@ -88,5 +94,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+OP2_SQL = """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (SELECT x, y FROM common WHERE 100 * c >= 80 * (n + m - c) UNION ALL SELECT y, x FROM common WHERE 100 * c >= 80 * (n + m - c)),
+reach AS MATERIALIZED (
+  WITH RECURSIVE r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN links l ON l.x = r.y) SELECT x, min(y) AS component_id FROM r GROUP BY x
+)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN reach ON x = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op5_mix_sources": OP5_SQL, "op6_exact_dedup": OP6_SQL}
