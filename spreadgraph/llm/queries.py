@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spreadgraph.llm.exact import exact_dedup
 from spreadgraph.llm.html import extract_main_text
+from spreadgraph.llm.lm import score_texts
 from spreadgraph.llm.mixing import mix_sources
 from spreadgraph.llm.near import near_duplicates
 from spreadgraph.llm.neighbours import search_neighbours
@@ -32,6 +33,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under a backoff automaton of those that are not held out."""
+    return score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_main_text(_read(spark, sf_dir, "pages"))
@@ -64,7 +70,7 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op4_html_main_text, op5_mix_sources, op6_exact_dedup, op8_best_fit_packing, op9_rendezvous_shards, op10_hilbert_neighbours)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_backoff_lm, op4_html_main_text, op5_mix_sources, op6_exact_dedup, op8_best_fit_packing, op9_rendezvous_shards, op10_hilbert_neighbours)}
 
 
 OP5_SQL = """
