@@ -14,6 +14,7 @@ from spreadgraph.llm.mixing import mix_sources
 from spreadgraph.llm.near import near_duplicates
 from spreadgraph.llm.neighbours import search_neighbours
 from spreadgraph.llm.packing import pack_documents
+from spreadgraph.llm.repeats import find_repeats
 from spreadgraph.llm.shard import shard_records
 from spreadgraph.llm.toxicity import score_toxicity, train
 
@@ -54,6 +55,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the byte strings of 400 that start elsewhere too."""
+    out = find_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack_documents(_read(spark, sf_dir, "documents"))
@@ -70,7 +77,7 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_backoff_lm, op4_html_main_text, op5_mix_sources, op6_exact_dedup, op8_best_fit_packing, op9_rendezvous_shards, op10_hilbert_neighbours)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_backoff_lm, op4_html_main_text, op5_mix_sources, op6_exact_dedup, op7_suffix_repeats, op8_best_fit_packing, op9_rendezvous_shards, op10_hilbert_neighbours)}
 
 
 OP5_SQL = """
