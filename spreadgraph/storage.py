@@ -65,8 +65,14 @@ def release(df: DataFrame) -> None:
             _written.remove((spark, path))
 
 
+#: Rows of an Arrow batch to and from Python workers: whole documents can be long, and a worker holds a batch at a time.
+ARROW_ROWS = 256
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, for jobs that were not submitted with it."""
+    """Send this package to the executors, once per application, for jobs that were not submitted with it; keep Arrow batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
