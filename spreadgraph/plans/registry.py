@@ -1,9 +1,13 @@
 """Registered queries and their SQL."""
 
+from __future__ import annotations
+
+from spreadgraph.plans import study, study_sql
+
 
 def queries():
-    return {}
+    return study.queries()
 
 
 def oracle_sql():
-    return {}
+    return study_sql.oracle_sql()
