@@ -32,6 +32,8 @@ PERCENT = 80
 CHUNK = 600_000
 BUCKET = 1_700_000
 LEAST_BUCKETS = 64
+#: Prefixes of up to so many shared shingles are carried along in the second round, to emit a pair at its first common one only.
+LISTED = 128
 #: Bytes of text hashed at once.
 HASHED = 3 << 20
 
@@ -107,7 +109,7 @@ def _bucket_blobs(digests: np.ndarray, sizes: np.ndarray, owner: np.ndarray, has
 def _shared_tokens(bucket: int, blobs: list[bytes], bits: int) -> Iterator[tuple[int, int, int, bytes]]:
     """(digest, size, how many, keys) of each set that shares tokens of the bucket with another set.
 
-    A key is the token under the class of its document frequency (eighths of its logarithm), so ascending keys are rare-first.
+    A key is the token under the class of its document frequency (quarters of its logarithm), so ascending keys are rare-first.
     """
     digests, sizes, counts, tokens = [], [], [], []
     for blob in blobs:
@@ -135,7 +137,7 @@ def _shared_tokens(bucket: int, blobs: list[bytes], bits: int) -> Iterator[tuple
     often = df >= 2
     token, owner, df = token[often], owner[often], df[often]
     low = np.uint64(min(40, 56 - bits))
-    rank = np.minimum(255, np.round(8 * np.log2(df))).astype(np.uint64)
+    rank = np.minimum(127, np.round(4 * np.log2(df))).astype(np.uint64)
     key = (rank << np.uint64(56)) | (np.uint64(bucket) << low) | (token & np.uint64((1 << int(low)) - 1))
     order = np.argsort(owner, kind="stable")
     key, owner = key[order], owner[order]
@@ -209,7 +211,9 @@ def candidate_sets(counted: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """``key, digest, n, pos, central``: the shared shingles of each set's prefix. Shingles of its own come first in it and meet nobody.
+    """``key, digest, n, s, pos, central``: the shared shingles of each set's prefix, how many it has in all (s) and the place among them.
+
+    Shingles of its own come first in a set's prefix and meet nobody.
 
     ``central`` is the mean frequency class of the set's shingles: of near copies, the text that the others were made from has the most.
     """
@@ -222,12 +226,13 @@ def prefixes(sets: DataFrame) -> DataFrame:
                 own = n - len(k)
                 head = k[: max(0, _prefix_length(n) - own)]
                 central = float((k >> np.uint64(56)).sum()) / n
-                parts.append((head.view(np.int64), digest, n, own + np.arange(len(head)), central))
+                parts.append((head.view(np.int64), digest, n, len(k), np.arange(len(head)), central))
             many = [len(p[0]) for p in parts]
             cat = lambda i, kind: np.repeat(np.array([p[i] for p in parts], kind), many)
-            yield pd.DataFrame({"key": np.concatenate([p[0] for p in parts]), "digest": cat(1, np.int64), "n": cat(2, np.int64), "pos": np.concatenate([p[3] for p in parts]), "central": cat(4, float)} if parts else {c: [] for c in ("key", "digest", "n", "pos", "central")})
+            if parts:
+                yield pd.DataFrame({"key": np.concatenate([p[0] for p in parts]), "digest": cat(1, np.int64), "n": cat(2, np.int64), "s": cat(3, np.int64), "pos": np.concatenate([p[4] for p in parts]), "central": cat(5, float)})
 
-    return sets.mapInPandas(cut, "key long, digest long, n long, pos long, central double")
+    return sets.mapInPandas(cut, "key long, digest long, n long, s long, pos long, central double")
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int = 3) -> int:
@@ -267,31 +272,58 @@ def _fits(n: str, m: str) -> str:
     return f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})"
 
 
-def _reach(n: str, m: str, i: str, j: str) -> str:
-    """The positional filter for one common shingle: what lies before, the shingle and what follows can still be enough."""
-    most = f"(least({i}, {j}) + 1 + least({n} - {i} - 1, {m} - {j} - 1))"
-    return f"{100 + PERCENT} * {most} >= {PERCENT} * ({n} + {m})"
+def _enough(common: str, n: str, m: str) -> str:
+    """So many common shingles at most can still be enough."""
+    return f"{100 + PERCENT} * ({common}) >= {PERCENT} * ({n} + {m})"
+
+
+def _reach(x: str, y: str) -> str:
+    """The positional filter for one common shingle of the sets x and y: the shared ones before it, itself, and those after it."""
+    before, after = f"least(pos{x}, pos{y})", f"least(s{x} - pos{x}, s{y} - pos{y})"
+    return _enough(f"{before} + {after}", f"n{x}", f"n{y}")
 
 
 def star_pairs(heads: DataFrame) -> DataFrame:
     """``a, b``: for each prefix shingle, its most central set with each of the others; every pair once."""
-    hub = heads.groupBy("key").agg(F.max(F.struct("central", "digest", "n", "pos")).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", F.col("h.digest").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
-    met = heads.join(hub, "key").where("digest <> hub").where(_fits("n", "hub_n")).where(_reach("n", "hub_n", "pos", "hub_pos"))
-    return met.select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
+    hub = heads.groupBy("key").agg(F.max(F.struct("central", "digest", "n", "s", "pos")).alias("h"), F.count("*").alias("c")).where("c > 1")
+    hub = hub.select("key", *[F.col(f"h.{c}").alias(f"{c}_h") for c in ("digest", "n", "s", "pos")])
+    met = heads.join(hub, "key").where("digest <> digest_h").where(_fits("n", "n_h")).where(_reach("", "_h"))
+    return met.select(F.least("digest", "digest_h").alias("a"), F.greatest("digest", "digest_h").alias("b")).distinct()
+
+
+def listed_prefixes(sets: DataFrame) -> DataFrame:
+    """``digest, pre``: the keys of prefixes that are short enough to be carried along."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            heads = []
+            for n, keys in zip(b["n"], b["keys"], strict=True):
+                k = np.frombuffer(keys, np.int64)
+                heads.append(k[: max(0, _prefix_length(n) - (n - len(k)))])
+            few = [len(h) <= LISTED for h in heads]
+            yield pd.DataFrame({"digest": b["digest"][few], "pre": [h for h, f in zip(heads, few, strict=True) if f]})
+
+    return sets.mapInPandas(cut, "digest long, pre array<bigint>")
 
 
-def cross_pairs(heads: DataFrame, classes: DataFrame) -> DataFrame:
+def cross_pairs(heads: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """``a, b``: the sets of different classes that share a prefix shingle and pass the length and positional filters; every pair once."""
     placed = heads.join(classes.select(F.col("node").alias("digest"), F.col("component").alias("class")), "digest", "left").withColumn("class", F.coalesce("class", "digest")).drop("central")
     mixed = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    left = placed.join(mixed, "key", "left_semi")
-    x = left.select("key", *[F.col(c).alias(f"{c}_a") for c in ("digest", "n", "pos", "class")])
-    y = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "pos", "class")])
-    on = (F.expr("digest_a < digest_b")) & F.expr("class_a <> class_b") & F.expr(_fits("n_a", "n_b")) & F.expr(_reach("n_a", "n_b", "pos_a", "pos_b"))
-    met = x.join(y, "key").where(on)
-    pairs = met.groupBy(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).agg(F.count("*").alias("c"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    left = keep(placed.join(mixed, "key", "left_semi").join(listed_prefixes(sets), "digest", "left"), "mixed")
+    x = left.select("key", *[F.col(c).alias(f"{c}_a") for c in ("digest", "n", "s", "pos", "class", "pre")])
+    y = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "s", "pos", "class", "pre")])
+    on = (F.expr("digest_a < digest_b")) & F.expr("class_a <> class_b") & F.expr(_fits("n_a", "n_b")) & F.expr(_reach("_a", "_b"))
+    # a pair of listed prefixes is met once, at its first common shingle; its common prefix shingles are then known
+    common = "array_intersect(pre_a, pre_b)"
+    once = F.expr("pre_a is null or pre_b is null") | F.expr(f"array_min({common}) = key")
+    met = x.join(y, "key").where(on).where(once)
+    both = met.where("pre_a is not null and pre_b is not null").withColumn("both", F.expr(common)).withColumn("end", F.array_max("both"))
+    short = both.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), F.size("both").alias("c"), F.expr("array_position(pre_a, end) - 1").alias("pos_a"), F.expr("array_position(pre_b, end) - 1").alias("pos_b"), "n_a", "n_b", "s_a", "s_b")
+    counted = met.where("pre_a is null or pre_b is null").groupBy(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
+    long = counted.agg(F.count("*").alias("c"), *[F.max(c).alias(c) for c in ("pos_a", "pos_b", "n_a", "n_b", "s_a", "s_b")])
     # all common shingles up to the last one are counted; what follows it can add so many at most
-    return pairs.where(f"{100 + PERCENT} * (c + least(n_a - i - 1, n_b - j - 1)) >= {PERCENT} * (n_a + n_b)").select("a", "b")
+    return short.unionByName(long).where(_enough("c + least(s_a - pos_a - 1, s_b - pos_b - 1)", "n_a", "n_b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = keep(star_pairs(heads), "pairs")
     links = keep(verify(first, sets), "links")
     classes = keep(connected_components(links, "a", "b"), "classes")
-    second = cross_pairs(heads, classes).join(first, ["a", "b"], "left_anti")
+    second = cross_pairs(heads, sets, classes).join(first, ["a", "b"], "left_anti")
     across = keep(verify(second, sets), "links")
     if across.limit(1).count():
         classes = connected_components(across.union(classes.select("node", "component")), "a", "b")
