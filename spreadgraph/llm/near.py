@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadgraph.llm.hashing import LOWER, batches_of, joined, mix, word_hashes, word_spans
@@ -150,8 +150,8 @@ def _prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def count_shared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The counting pass. Rows with ``doc_id``: each document's digest and size. Rows with ``keys``: a set's shared shingles in one bucket."""
+def count_shared(docs: DataFrame, name: Column, text_col: str) -> DataFrame:
+    """The counting pass. Rows that ``is_doc``: each row's name (text), digest and size. Others: a set's shared shingles in one bucket."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     bits = max(LEAST_BUCKETS.bit_length() - 1, int(np.ceil(np.log2(max(total / 7 / BUCKET, 1)))))
     buckets = 1 << bits
@@ -171,7 +171,7 @@ def count_shared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 use = once[owner]
                 rows = list(_bucket_blobs(digests, sizes, owner[use], hashes[use], bits))
                 for at in range(0, len(rows), 16):
-                    yield pd.DataFrame({"bucket": [b for b, _ in rows[at : at + 16]], "doc_id": pd.array([None] * len(rows[at : at + 16]), "Int64"), "digest": 0, "n": 0, "blob": [x for _, x in rows[at : at + 16]]})
+                    yield pd.DataFrame({"bucket": [b for b, _ in rows[at : at + 16]], "doc_id": None, "digest": 0, "n": 0, "blob": [x for _, x in rows[at : at + 16]]})
                 held.clear()
 
         for b in batches:
@@ -179,7 +179,7 @@ def count_shared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for part in batches_of([len(t or b"") for t in texts], HASHED):
                 owner, hashes = shingle_sets(texts[part])
                 digests, sizes = set_digests(owner, hashes, part.stop - part.start)
-                yield pd.DataFrame({"bucket": buckets + (digests.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), "doc_id": ids[part].astype("Int64").to_numpy(), "digest": digests, "n": sizes, "blob": None}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"bucket": buckets + (digests.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), "doc_id": ids[part].to_numpy(), "digest": digests, "n": sizes, "blob": None})
                 held.append((digests, sizes, owner, hashes))
                 total += len(hashes)
                 if total >= CHUNK:
@@ -189,14 +189,14 @@ def count_shared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def reduce(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] >= buckets:
-            return rows.assign(doc_id=rows["doc_id"].astype("Int64"), is_doc=True, shared=0, keys=None)[["is_doc", "doc_id", "digest", "n", "shared", "keys"]]
+            return rows.assign(is_doc=True, shared=0, keys=None)[["is_doc", "doc_id", "digest", "n", "shared", "keys"]]
         blobs = list(rows["blob"])
         out = pd.DataFrame(list(_shared_tokens(key[0], blobs, bits)), columns=["digest", "n", "shared", "keys"])
-        return out.assign(is_doc=False, doc_id=pd.array([None] * len(out), "Int64"))[["is_doc", "doc_id", "digest", "n", "shared", "keys"]]
+        return out.assign(is_doc=False, doc_id=None)[["is_doc", "doc_id", "digest", "n", "shared", "keys"]]
 
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("_raw"))
-    shipped = raw.mapInPandas(chunks, "bucket int, doc_id long, digest long, n long, blob binary")
-    return keep(shipped.groupBy("bucket").applyInPandas(reduce, "is_doc boolean, doc_id long, digest long, n long, shared long, keys binary"), "shingles")
+    raw = docs.select(name.alias("doc_id"), F.col(text_col).cast("binary").alias("_raw"))
+    shipped = raw.mapInPandas(chunks, "bucket int, doc_id string, digest long, n long, blob binary")
+    return keep(shipped.groupBy("bucket").applyInPandas(reduce, "is_doc boolean, doc_id string, digest long, n long, shared long, keys binary"), "shingles")
 
 
 def candidate_sets(counted: DataFrame) -> DataFrame:
@@ -326,16 +326,10 @@ def cross_pairs(heads: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFr
     return short.unionByName(long).where(_enough("c + least(s_a - pos_a - 1, s_b - pos_b - 1)", "n_a", "n_b")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row.
-
-    A-Z are lower-cased; words are runs without ASCII white space. Documents link when the Jaccard similarity of their shingle sets
-    is 0.8 or more; equal sets always do. ``component_id`` is the smallest doc_id reachable by links. Null, empty and blank texts have
-    an empty set and only themselves. Null ids are never a component's name unless all its ids are null. Sets with equal 64-bit
-    digests and sizes count as equal. Extra columns are ignored; repeated rows are reported each.
-    """
+def near_classes(docs: DataFrame, name: Column, text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, class``: each row's name (a text column), set size, and class under links (null for empty sets)."""
     ship(docs.sparkSession)
-    counted = count_shared(docs, id_col, text_col)
+    counted = count_shared(docs, name, text_col)
     sets = candidate_sets(counted)
     heads = keep(prefixes(sets), "prefixes")
     first = keep(star_pairs(heads), "pairs")
@@ -346,18 +340,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if across.limit(1).count():
         classes = connected_components(across.union(classes.select("node", "component")), "a", "b")
     members = counted.where("is_doc").select("doc_id", "digest", F.col("n").alias("n_shingles"))
-    filled = members.where("n_shingles > 0").join(classes.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("_class", F.coalesce("component", "digest"))
-    lowest = filled.groupBy("_class").agg(F.min("doc_id").alias("component_id"))
-    out = filled.join(lowest, "_class").select("doc_id", "n_shingles", "component_id")
-    return out.union(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    placed = members.join(classes.select(F.col("node").alias("digest"), "component"), "digest", "left")
+    return placed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "digest")).alias("class"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row.
+
+    A-Z are lower-cased; words are runs without ASCII white space. Documents link when the Jaccard similarity of their shingle sets
+    is 0.8 or more; equal sets always do. ``component_id`` is the smallest doc_id reachable by links. Null, empty and blank texts have
+    an empty set and only themselves. Null ids name a component only if all its ids are null. Sets with equal 64-bit digests and sizes
+    count as equal. Extra columns are ignored; repeated rows are reported each.
+    """
+    # ids pass through pandas as text: with a null among them it would make long integers floats
+    named = near_classes(docs, F.col(id_col).cast("long").cast("string"), text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    lowest = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    out = named.where("class is not null").join(lowest, "class").select("doc_id", "n_shingles", "component_id")
+    return out.union(named.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, with their own columns; rows with a null id stay.
+    """The rows of ``docs`` that stay, with their own columns: of each component the row with the smallest id (null ids last).
 
-    Rows repeated with the same id and a shared component leave one row (any of them).
+    Rows with empty sets all stay; of rows repeated with the same id and text one stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"))
-    return packed.join(lost, F.col("_id") == F.col("_lost"), "left_anti").select("_row.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row_id = F.col(id_col).cast("long")
+    name = F.concat_ws(":", F.coalesce(row_id.cast("string"), F.lit("null")), F.xxhash64(F.col(text_col)).cast("string"))
+    named = near_classes(docs, name, text_col).where("class is not null")
+    order = F.struct(F.expr("doc_id like 'null:%'").alias("none"), F.split_part("doc_id", F.lit(":"), F.lit(1)).try_cast("long").alias("id"), F.col("doc_id"))
+    best = named.groupBy("class").agg(F.min(order).alias("o")).select("class", F.col("o.doc_id").alias("_best"))
+    lost = named.join(best, "class").where("doc_id <> _best").select(F.col("doc_id").alias("_name")).distinct()
+    single = best.select(F.col("_best").alias("_name"), F.lit(True).alias("_single"))
+    packed = docs.select(whole.alias("_row"), name.alias("_name"))
+    left = packed.join(lost, "_name", "left_anti").join(single, "_name", "left")
+    one = Window.partitionBy("_name").orderBy("_single")
+    return left.withColumn("_copy", F.row_number().over(one)).where("_single is null or _copy = 1").select("_row.*")

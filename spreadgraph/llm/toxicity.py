@@ -177,10 +177,12 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "
         terms, machine = Terms(), shared.value
         for b in batches:
             s = np.array([machine.score(terms(t)) for t in b["_text"]], float)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(scored, "doc_id long, held_out boolean, score double, predicted int")
+    # ids pass through pandas as text: with a null among them it would make long integers floats
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
+    done = rows.mapInPandas(scored, "doc_id string, held_out boolean, score double, predicted int")
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
