@@ -17,7 +17,8 @@ def round_uncertain(value: Column, error: Column) -> Column:
 
 def fixed(value: Column, decimals: int = 2) -> Column:
     """A number as text with fixed decimals; null shows as nothing."""
-    return F.coalesce(F.format_string(f"%.{decimals}f", value.cast("double")), F.lit(""))
+    number = value.cast("double")
+    return F.when(number.isNull(), F.lit("")).otherwise(F.format_string(f"%.{decimals}f", number))
 
 
 def blend(colour: Column, share: Column, target: float) -> Column:
