@@ -249,6 +249,12 @@ _STATE = ("i4", "i8", "i8", "i4", "u8", "u1")  # of runs: text, first, last, ent
 _ENTRY = ("u8", "u8", "u1", "u1")  # key, hash, texts in the chunk (2: or more), minimizer twice in it
 
 
+def _in_order(rows: pd.DataFrame) -> tuple[list[str | None], list[bytes]]:
+    """A chunk's ids and texts by id and text: shuffles bring rows in any order, and runs name texts by number."""
+    pairs = sorted(zip(rows["doc_id"], rows["raw"], strict=True), key=lambda p: (p[0] or "", p[1]))
+    return [i for i, _ in pairs], [t for _, t in pairs]
+
+
 def _info(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """A chunk's runs and the status of its entries."""
     state = _unpack(rows.loc[rows["kind"] == "runs", "blob"].iat[0], *_STATE)
@@ -281,7 +287,7 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, with_k
     parts = in_chunks(docs, id_col, text_col, total, CHUNK_BYTES)
 
     def runs(rows: pd.DataFrame) -> pd.DataFrame:
-        r = Runs(list(rows["raw"]), width)
+        r = Runs(_in_order(rows)[1], width)
         order = np.lexsort((r.hash, r.key))
         key, whole = r.key[order], r.hash[order]
         new = np.ones(len(key), bool)
@@ -321,7 +327,7 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, with_k
         return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "kind": "status", "blob": [p.tobytes() for p in np.split(status, ends[:-1])]})
 
     def gather(rows: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
-        texts = list(rows["raw"])
+        texts = _in_order(rows)[1]
         state, status = _info(info)
         text, first, last, entry, key, many = state
         rep = np.unique(entry, return_index=True)[1]
@@ -364,7 +370,7 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, with_k
         return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "blob"])
 
     def finish(rows: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
-        texts = list(rows["raw"])
+        ids, texts = _in_order(rows)
         if not texts:
             return pd.DataFrame(columns=names)
         state, status = _info(info)
@@ -404,9 +410,8 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, with_k
             flags = gone[begins[i] : begins[i] + len(t)]
             lo, hi = _intervals(flags)
             kept = np.frombuffer(t, np.uint8)[~flags].tobytes() if len(lo) else t
-            out.append((rows["doc_id"].iat[i], len(t), int(flags.sum()), lo, hi, hashlib.sha256(kept).hexdigest()) + ((kept,) if with_kept else ()))
-        made = pd.DataFrame(out, columns=names)
-        return made.assign(doc_id=made["doc_id"].astype("Int64"))
+            out.append((ids[i], len(t), int(flags.sum()), lo, hi, hashlib.sha256(kept).hexdigest()) + ((kept,) if with_kept else ()))
+        return pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "span_starts", "span_ends", "kept_sha256"] + ["kept"] * with_kept
     schema = "chunk int, bucket int, kind string, blob binary"
@@ -415,5 +420,6 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, with_k
     known = first_pass.where("kind = 'runs'").unionByName(judged)
     sent = parts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(gather, schema)
     compared = sent.groupBy("kind", "bucket").applyInPandas(compare, schema)
-    result = "doc_id long, n_bytes long, n_removed long, span_starts array<bigint>, span_ends array<bigint>, kept_sha256 string" + ", kept binary" * with_kept
-    return parts.groupBy("chunk").cogroup(known.unionByName(compared).groupBy("chunk")).applyInPandas(finish, result)
+    result = "doc_id string, n_bytes long, n_removed long, span_starts array<bigint>, span_ends array<bigint>, kept_sha256 string" + ", kept binary" * with_kept
+    done = parts.groupBy("chunk").cogroup(known.unionByName(compared).groupBy("chunk")).applyInPandas(finish, result)
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))

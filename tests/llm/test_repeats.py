@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spreadgraph.llm import repeats
 from spreadgraph.llm.repeats import find_repeats, merge_transforms, repeated_starts, shard_transform
@@ -61,6 +62,16 @@ def test_spread_minimizers_equal_brute_force(spark, monkeypatch):
     compare(spark, sample())
 
 
+def test_rows_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 20_000)
+    texts = sample()
+    docs = spark.createDataFrame([(i + 2**60, t) for i, t in enumerate(texts)] + [(None, "nothing")], "doc_id long, text string")
+    shuffled = docs.withColumn("r", F.rand()).repartition(7, "r").drop("r")  # another order each time it is read
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["span_starts"]), r["kept_sha256"]) for r in find_repeats(shuffled).collect()}
+    want = brute([*texts, "nothing"], repeats.WIDTH)
+    assert got == {**{i + 2**60: w for i, w in enumerate(want[:-1])}, None: want[-1]}
+
+
 def test_very_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "AT_ONCE", 1500)
     compare(spark, sample())
