@@ -25,7 +25,7 @@ ORDER = 2
 MASS = 500.0
 #: Added to a unigram's count.
 ADDED = 0.1
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 4 << 20
 #: About how many n-grams a counting bucket holds.
 BUCKET = 1_500_000
 
@@ -56,96 +56,136 @@ class Tokens:
         return np.concatenate((np.zeros(min(k, len(self.hashes)), np.uint64), self.hashes[:-k] if k < len(self.hashes) else np.empty(0, np.uint64)))
 
 
-def gram_counts(tokens: Tokens, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of all orders, ascending, and how often each ends in a text that the model learns from."""
-    flat = np.concatenate(tokens.grams)
-    learn = np.tile(taught[tokens.owner], len(tokens.grams))
-    learn, flat = learn[flat != 0], flat[flat != 0]
-    keys, at = np.unique(flat, return_inverse=True)
-    return keys, np.bincount(at, weights=learn, minlength=len(keys)).astype(np.int64)
+def numbered_grams(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct words (and the end) and the distinct longer n-grams, both ascending, and by order the number of the n-gram that ends at each token.
+
+    Words are numbered before longer n-grams; -1 stands for none.
+    """
+    words, first = np.unique(tokens.hashes, return_inverse=True)
+    ids = [first]
+    if len(tokens.grams) == 1:
+        return words, np.empty(0, np.uint64), ids
+    longer, at = np.unique(np.concatenate(tokens.grams[1:]), return_inverse=True)
+    none = int(len(longer) > 0 and longer[0] == 0)  # n-grams that would begin before the start
+    for part in np.split(at, len(tokens.grams) - 1):
+        ids.append(np.where(part >= none, len(words) + part - none, -1))
+    return words, longer[none:], ids
+
+
+def taught_counts(tokens: Tokens, ids: list[np.ndarray], n: int, taught: np.ndarray) -> np.ndarray:
+    """How often each n-gram ends in a text that the model learns from."""
+    learn = taught[tokens.owner]
+    return sum(np.bincount(i[learn & (i >= 0)], minlength=n) for i in ids)
 
 
 class Automaton:
-    """The part of the backoff automaton that one chunk can reach."""
-
-    def __init__(self, tokens: Tokens, keys: np.ndarray, counts: np.ndarray, total: int, distinct: int, starts: int, mass: float = MASS):
-        self.total, self.distinct = total, distinct
-        order = len(tokens.grams)
-        ids = [np.searchsorted(keys, g) for g in tokens.grams]
-        for n in range(1, order):
-            ids[n] = np.where(tokens.grams[n] != 0, ids[n], -1)
-        # words get the numbers 0, 1, ...; the states are the root, the start, and the contexts that the model has seen
-        words, self.word = np.unique(ids[0], return_inverse=True)
-        self.width = len(words)
-        self.count = counts[words]
+    """The part of the backoff automaton that one chunk can reach.
+
+    States are the root (0), the start (1) and every context of the chunk's texts that the training texts hold. ``arc_key`` (state times
+    words plus word, ascending) has an arc for each n-gram that they hold, and one at the root for every word; ``fail`` leads to the
+    context without its first word.
+    """
+
+    def __init__(self, tokens: Tokens, ids: list[np.ndarray], counts: np.ndarray, words: int, total: int, distinct: int, starts: int, mass: float = MASS):
+        order = len(ids)
+        self.width, self.word, self.order = words, ids[0], order
+        self.count = counts[:words]
         self.base = np.log10((self.count + ADDED) / (total + ADDED * (distinct + 1)))
-        state = np.full(len(keys) + 1, -1, np.int64)  # of an n-gram; the last entry stands for none
+        state = np.full(len(counts) + 1, -1, np.int64)  # of an n-gram; the last entry stands for none
         contexts = np.unique(np.concatenate([i[i >= 0] for i in ids[: order - 1]] or [np.empty(0, np.int64)]))
         contexts = contexts[counts[contexts] > 0]
         state[contexts] = np.arange(2, 2 + len(contexts))
-        self.begin = 1 if order > 1 and starts else 0
         seen = np.concatenate(([total, starts], counts[contexts])).astype(float)  # by state
         self.fail = np.zeros(len(seen), np.int64)
-        with np.errstate(divide="ignore"):
-            self.fail_weight = np.log10(mass / (seen + mass))
-        # at each token: the probability by order, the state before it and the state after it if its n-gram is known
-        p = 10 ** self.base[self.word]
-        arcs = {"from": [np.zeros(self.width, np.int64)], "word": [np.arange(self.width)], "weight": [self.base], "to": [np.where(self.count > 0, state[words], 0).clip(0) if order > 1 else np.zeros(self.width, np.int64)]}
+        self.fail_weight = np.log10(mass / (seen + mass))
+        p = 10 ** self.base[self.word]  # of each token, by contexts of rising length
+        root = np.arange(words)
+        keys, weights, to = [root], [self.base], [state[:words].clip(0)]
+        self.before = np.zeros(len(self.word), np.int64)  # the state that reads each token
         for n in range(2, order + 1):
-            source = np.where(tokens.place == n - 2, 1 if n == 2 else state[np.concatenate(([-1], ids[n - 2][:-1]))], state[np.concatenate(([-1], ids[n - 2][:-1]))])
+            source = state[np.concatenate(([-1], ids[n - 2][:-1]))]
+            if n == 2:
+                source = np.where(tokens.place == 0, 1 if starts else -1, source)
             source = np.where(tokens.place >= n - 2, source, -1)
-            if n == 2 and not self.begin:
-                source = np.where(tokens.place == 0, -1, source)
             has = source >= 0
-            own = np.where(ids[n - 1] >= 0, counts[ids[n - 1].clip(0)], 0)
-            h = np.where(has, seen[source.clip(0)], 0.0)
-            p = np.where(has, (own + mass * p) / (h + mass), p)
-            arc = has & (own > 0)
-            _, one = np.unique(source[arc] * self.width + self.word[arc], return_index=True)
-            at = np.flatnonzero(arc)[one]
-            arcs["from"].append(source[at])
-            arcs["word"].append(self.word[at])
-            arcs["weight"].append(np.log10(p[at]))
-            target = state[ids[n - 1][at]] if n < order else np.full(len(at), -1)
-            lower = [state[ids[k][at]] for k in range(n - 2, -1, -1)]
-            for s in lower:
-                target = np.where(target >= 0, target, s)
-            arcs["to"].append(target.clip(0))
+            self.before = np.where(has, source, self.before)
+            own = np.where(ids[n - 1] >= 0, counts[ids[n - 1]], 0)
+            p = np.where(has, (own + mass * p) / (np.where(has, seen[source], 0.0) + mass), p)
+            at = np.flatnonzero(has & (own > 0))
+            key, one = np.unique(source[at] * words + self.word[at], return_index=True)
+            at = at[one]
+            target = np.zeros(len(at), np.int64)
+            for k in range(min(n, order - 1)):  # the longest context that the n-gram ends in
+                longer = state[ids[k][at]]
+                target = np.where(longer >= 0, longer, target)
+            keys.append(key)
+            weights.append(np.log10(p[at]))
+            to.append(target)
             if n < order:  # a longer context falls back to itself without its first word
-                inner = state[ids[n - 1]]
-                ok = (ids[n - 1] >= 0) & (inner >= 0)
-                shorter = np.zeros(len(inner), np.int64)
-                for k in range(0, n - 1):
-                    s = state[ids[k]]
-                    shorter = np.where(s >= 0, s, shorter)
-                self.fail[inner[ok]] = shorter[ok]
-        source, word, weight, to = (np.concatenate(arcs[k]) for k in ("from", "word", "weight", "to"))
-        self.goto = dict(zip((source * self.width + word).tolist(), range(len(word)), strict=True))
-        self.arc_weight, self.arc_to = weight.tolist(), to.tolist()
-        self._fail, self._fail_weight = self.fail.tolist(), self.fail_weight.tolist()
-
-    def score(self, words: list[int]) -> float:
-        """One traversal from left to right: follow failure arcs until the state reads the word, then its arc."""
-        goto, fail, lost, weight, to, width = self.goto, self._fail, self._fail_weight, self.arc_weight, self.arc_to, self.width
+                inner = np.where(ids[n - 1] >= 0, state[ids[n - 1]], -1)
+                ok = np.flatnonzero(inner >= 0)
+                shorter = np.zeros(len(ok), np.int64)
+                for k in range(n - 1):
+                    found = state[ids[k][ok]]
+                    shorter = np.where(found >= 0, found, shorter)
+                self.fail[inner[ok]] = shorter
+        key = np.concatenate(keys)
+        by = np.argsort(key, kind="stable")
+        self.arc_key, self.arc_weight, self.arc_to = key[by], np.concatenate(weights)[by], np.concatenate(to)[by]
+        self.begin = 1 if order > 1 and starts else 0
+
+    def walk(self, words: list[int]) -> float:
+        """One text from left to right: follow failure arcs until the state reads the word, then its arc, and carry the state on."""
         total, state = 0.0, self.begin
         for w in words:
-            arc = goto.get(state * width + w)
-            while arc is None:
-                total += lost[state]
-                state = fail[state]
-                arc = goto.get(state * width + w)
-            total += weight[arc]
-            state = to[arc]
+            while True:
+                arc = int(np.searchsorted(self.arc_key, state * self.width + w))
+                if arc < len(self.arc_key) and self.arc_key[arc] == state * self.width + w:
+                    break
+                total += float(self.fail_weight[state])
+                state = int(self.fail[state])
+            total += float(self.arc_weight[arc])
+            state = int(self.arc_to[arc])
         return total
 
+    def weights(self) -> np.ndarray:
+        """What each token adds on the walk through its text, all texts of the chunk at once.
+
+        The state that a walk carries to a token is the longest known context before it, whatever arcs led there; from those states
+        the failure arcs are followed until every token has its arc.
+        """
+        out = np.zeros(len(self.word))
+        left, state = np.arange(len(self.word)), self.before.copy()
+        while len(left):
+            key = state * self.width + self.word[left]
+            arc = np.minimum(np.searchsorted(self.arc_key, key), len(self.arc_key) - 1)
+            reads = self.arc_key[arc] == key
+            out[left[reads]] += self.arc_weight[arc[reads]]
+            left, state = left[~reads], state[~reads]
+            out[left] += self.fail_weight[state]
+            state = self.fail[state]
+        return out
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """One byte a count, 255 standing for those that follow in full."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype("u1").tobytes() + counts[large].astype("<u8").tobytes()
 
-def _ship(bucket_keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return len(bucket_keys).to_bytes(8, "little") + pack40(bucket_keys) + counts.astype("<u4").tobytes()
+
+def _unpack_counts(raw: bytes | memoryview, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, "u1", n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", -1, n).astype(np.int64) if len(raw) > n else 0
+    return out
+
+
+def _ship(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    return len(keys).to_bytes(8, "little") + pack40(keys) + _pack_counts(counts)
 
 
 def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
-    return unpack40(memoryview(blob)[8 : 8 + 5 * n]), np.frombuffer(blob, "<u4", n, 8 + 5 * n)
+    return unpack40(memoryview(blob)[8 : 8 + 5 * n]), _unpack_counts(memoryview(blob)[8 + 5 * n :], n)
 
 
 def _fold(doc_id: Column) -> Column:
@@ -167,59 +207,52 @@ def score_texts(docs: DataFrame, order: int = ORDER, mass: float = MASS, id_col:
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         tokens = Tokens(list(rows["raw"]), order)
         taught = ~rows["held_out"].to_numpy(bool)
-        keys, counts = gram_counts(tokens, taught)
-        at = bucket_bounds(keys, bits)
-        # words alone make N and V: mark them by a second blob
-        words = np.unique(tokens.hashes)
-        word_counts = counts[np.searchsorted(keys, words)]
-        at_words = bucket_bounds(words, bits)
+        words, longer, ids = numbered_grams(tokens)
+        counts = taught_counts(tokens, ids, len(words) + len(longer), taught)
+        sides = [(k, c, bucket_bounds(k, bits)) for k, c in ((words, counts[: len(words)]), (longer, counts[len(words) :]))]
         out = []
         for b in range(1 << bits):
-            own, ws = slice(at[b], at[b + 1]), slice(at_words[b], at_words[b + 1])
-            if own.stop > own.start:
-                out.append((b, int(rows["chunk"].iat[0]), int(taught.sum()) if b == 0 else 0, _ship(keys[own], counts[own]), _ship(words[ws], word_counts[ws])))
-        if at[1] == at[0]:
-            out.append((0, int(rows["chunk"].iat[0]), int(taught.sum()), _ship(keys[:0], counts[:0]), _ship(words[:0], counts[:0])))
-        return pd.DataFrame(out, columns=["bucket", "chunk", "texts", "grams", "words"])
+            w, g = (_ship(k[at[b] : at[b + 1]], c[at[b] : at[b + 1]]) for k, c, at in sides)
+            out.append((b, int(rows["chunk"].iat[0]), int(taught.sum()) if b == 0 else 0, w, g))
+        return pd.DataFrame(out, columns=["bucket", "chunk", "texts", "words", "grams"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        opened = [_open(g) for g in rows["grams"]]
-        _, sums, at = sum_by_key([k for k, _ in opened], [c for _, c in opened])
-        ends = np.cumsum([len(k) for k, _ in opened])
-        answers = [part.astype("<u4" if sums.max(initial=0) < 1 << 32 else "<u8").tobytes() for part in np.split(sums[at], ends[:-1])]
-        wide = sums.max(initial=0) >= 1 << 32
-        words = [_open(w) for w in rows["words"]]
-        _, word_sums, _ = sum_by_key([k for k, _ in words], [c for _, c in words])
-        own = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "wide": wide, "counts": answers, "n": 0, "v": 0, "texts": 0})
-        sums_row = pd.DataFrame({"chunk": [-1], "bucket": rows["bucket"].iloc[:1].to_numpy(), "wide": [False], "counts": [b""], "n": [int(word_sums.sum())], "v": [int((word_sums > 0).sum())], "texts": [int(rows["texts"].sum())]})
-        return pd.concat([own, sums_row])
-
-    counted = parts.groupBy("chunk").applyInPandas(count, "bucket int, chunk int, texts long, grams binary, words binary")
-    added = counted.groupBy("bucket").applyInPandas(add, "chunk int, bucket int, wide boolean, counts binary, n long, v long, texts long")
+        answers, n, v = {}, 0, 0
+        for side in ("words", "grams"):
+            opened = [_open(b) for b in rows[side]]
+            _, sums, at = sum_by_key([k for k, _ in opened], [c for _, c in opened])
+            ends = np.cumsum([len(k) for k, _ in opened])
+            answers[side] = [len(part).to_bytes(8, "little") + _pack_counts(part) for part in np.split(sums[at], ends[:-1])]
+            if side == "words":
+                n, v = int(sums.sum()), int((sums > 0).sum())
+        own = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], **answers, "n": 0, "v": 0, "texts": 0})
+        return pd.concat([own, pd.DataFrame({"chunk": [-1], "bucket": rows["bucket"].iloc[:1].to_numpy(), "words": [b""], "grams": [b""], "n": [n], "v": [v], "texts": [int(rows["texts"].sum())]})])
+
+    counted = parts.groupBy("chunk").applyInPandas(count, "bucket int, chunk int, texts long, words binary, grams binary")
+    added = counted.groupBy("bucket").applyInPandas(add, "chunk int, bucket int, words binary, grams binary, n long, v long, texts long")
     sums = added.where("chunk = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("texts").alias("texts"))
-    answers = added.where("chunk >= 0").select("chunk", "bucket", "wide", "counts").join(F.broadcast(sums))  # one row
+    answers = added.where("chunk >= 0").select("chunk", "bucket", "words", "grams").join(F.broadcast(sums))  # one row
 
     def score(rows: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=names)
         tokens = Tokens(list(rows["raw"]), order)
-        keys, _ = gram_counts(tokens, np.zeros(len(rows), bool))
+        words, longer, ids = numbered_grams(tokens)
         by_bucket = answer.sort_values("bucket")
-        counts = np.concatenate([np.frombuffer(c, "<u8" if w else "<u4").astype(np.int64) for c, w in zip(by_bucket["counts"], by_bucket["wide"], strict=True)])
+        counts = np.concatenate([_unpack_counts(memoryview(b)[8:], int.from_bytes(b[:8], "little")) for side in ("words", "grams") for b in by_bucket[side]])
         total, distinct, texts = (int(answer[c].iat[0]) for c in ("n", "v", "texts"))
-        model = Automaton(tokens, keys, counts, total, distinct, texts, mass)
-        known, base = (model.count > 0)[model.word], model.base[model.word]
-        words = model.word.tolist()
-        first = tokens.first.tolist()
+        model = Automaton(tokens, ids, counts, len(words), total, distinct, texts, mass)
+        first = tokens.first[:-1]
         return pd.DataFrame({
-            "doc_id": rows["doc_id"].astype("Int64").to_numpy(),
+            "doc_id": rows["doc_id"],
             "held_out": rows["held_out"].to_numpy(),
             "n_tokens": tokens.lengths,
-            "n_known": np.add.reduceat(known.astype(np.int64), tokens.first[:-1]),
+            "n_known": np.add.reduceat((model.count > 0)[model.word].astype(np.int64), first),
             "train_tokens": total,
-            "base_score": np.add.reduceat(base, tokens.first[:-1]),
-            "score": [model.score(words[first[i] : first[i + 1]]) for i in range(len(rows))],
-        }).astype({"doc_id": "Int64"})
+            "base_score": np.add.reduceat(model.base[model.word], first),
+            "score": np.add.reduceat(model.weights(), first),
+        })
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    return parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -3,9 +3,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from spreadgraph.llm.lm import ADDED, MASS, score_texts
+from spreadgraph.llm.lm import ADDED, MASS, Automaton, Tokens, numbered_grams, score_texts, taught_counts
 
 TEXTS = ["the cat sat on the mat", "The cat sat", None, "", "   ", "a b a b a b a", "the dog sat on the cat\nthe cat", "ü ö Ü", "zz " * 3000, "the cat sat on the mat"] * 3
 
@@ -68,3 +69,17 @@ def test_empty_table_and_null_ids(spark):
     got = score_texts(nulls).collect()
     assert [r["held_out"] for r in got] == [True, True]
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in got)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_side_by_side_equals_one_walk_after_the_other(order):
+    texts = [(t or "").encode() for t in TEXTS]
+    tokens = Tokens(texts, order)
+    words, longer, ids = numbered_grams(tokens)
+    taught = np.arange(len(texts)) % 3 != 0
+    counts = taught_counts(tokens, ids, len(words) + len(longer), taught)
+    model = Automaton(tokens, ids, counts, len(words), int(counts[: len(words)].sum()), int((counts[: len(words)] > 0).sum()), int(taught.sum()), 3.0)
+    added = model.weights()
+    for i in range(len(texts)):
+        own = slice(tokens.first[i], tokens.first[i + 1])
+        assert added[own].sum() == pytest.approx(model.walk(model.word[own].tolist()), rel=1e-9)
