@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadgraph.storage import keep
+from spreadgraph.storage import keep, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,8 +41,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     now = keep(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v").distinct(), "edges")
     mark = _mark(now)
     for _ in range(max_rounds):
-        now = keep(_small_star(_large_star(now)), "stars")
+        last, now = now, keep(_small_star(_large_star(now)), "stars")
         before, mark = mark, _mark(now)
+        release(last)
         if mark == before:
             break
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,3 +83,20 @@ def with_client(edges: DataFrame, tweets: DataFrame, clients: DataFrame) -> Data
     source = tweets.select("tweet_id", "source_content").join(clients, "source_content", "left")
     return edges.join(source.select("tweet_id", "source_id"), "tweet_id", "left").select("src", "dst", "tweet_id", "source_id")
 
+
+
+def merge_client_maps(*maps: DataFrame) -> DataFrame:
+    """``source_id, source_content``: one id a client over several maps; earlier maps keep their ids, new clients go on by name."""
+    tagged = reduce(DataFrame.unionByName, [m.select("source_id", "source_content", F.lit(i).alias("map")) for i, m in enumerate(maps)])
+    first = tagged.groupBy("source_content").agg(F.min(F.struct("map", "source_id")).alias("f")).select("source_content", "f.map", "f.source_id")
+    old, new = first.where("map = 0"), first.where("map > 0")
+    last = old.agg(F.coalesce(F.max("source_id"), F.lit(-1)).alias("last"))
+    added = new.withColumn("r", F.row_number().over(Window.orderBy("source_content"))).select((F.col("r") + last.scalar()).cast("int").alias("source_id"), "source_content")
+    return old.select(F.col("source_id").cast("int").alias("source_id"), "source_content").unionByName(added)
+
+
+def to_global_clients(edges: DataFrame, local: DataFrame, merged: DataFrame) -> DataFrame:
+    """Edges whose ``source_id`` is a period's own, with the merged map's ids; an id that the period's map lacks gives null."""
+    both = local.select(F.col("source_id").alias("local_id"), "source_content").join(merged.select(F.col("source_id").alias("global_id"), "source_content"), "source_content")
+    out = edges.join(both.select("local_id", "global_id"), F.col("source_id") == F.col("local_id"), "left")
+    return out.select("src", "dst", "tweet_id", F.col("global_id").alias("source_id"))

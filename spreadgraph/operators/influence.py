@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spreadgraph.operators.centrality import katz
 from spreadgraph.operators.graph import SpreadGraph
 from spreadgraph.operators.traverse import levels
 
@@ -184,3 +185,12 @@ def adaptive_ci(graphs: DataFrame, radius: int = 2, direction: str = "out", upda
         return pd.DataFrame({"graph_id": rows["graph_id"].iat[0], "user_id": [int(v) for v, _ in order], "place": range(len(order)), "ci": [int(c) for _, c in order]}).astype({"user_id": "int64", "place": "int32", "ci": "int64"})
 
     return graphs.select("graph_id", "src", "dst").groupBy("graph_id").applyInPandas(rank, "graph_id string, user_id long, place int, ci long")
+
+
+def enriched_vertices(graph: SpreadGraph, radius: int = 2, alpha: float = 0.01, rounds: int = 4) -> DataFrame:
+    """``user_id, k_out, k_in, ci_out, ci_in, katz, katz_rev``: what a saved graph's vertices carry."""
+    out = graph.degrees()
+    for way in ("out", "in"):
+        out = out.join(static_ci(graph, radius, way).withColumnRenamed("ci", f"ci_{way}"), "user_id")
+    out = out.join(katz(graph, alpha, 1.0, rounds), "user_id")
+    return out.join(katz(graph.reverse(), alpha, 1.0, rounds).withColumnRenamed("katz", "katz_rev"), "user_id")

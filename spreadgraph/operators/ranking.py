@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spreadgraph.operators.numbering import number_sorted
+
 #: What a deleted account is shown as.
 DELETED = "@???????"
 
 
 def ordinal_rank(rows: DataFrame, value: str, name: str = "rank", within: Sequence[str] = (), id_col: str = "user_id") -> DataFrame:
-    """0-based ranks by falling value, equal values by id. Without ``within`` use ``top`` first: a global rank is one sort."""
+    """0-based ranks by falling value, equal values by id; globally by a range-partitioned sort, not in one task."""
+    if not within:
+        return number_sorted(rows, [F.desc(value), F.col(id_col)], name).withColumn(name, F.col(name).cast("int"))
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(value), id_col)) - 1)
 
 
@@ -20,7 +24,8 @@ def top(rows: DataFrame, value: str, k: int, within: Sequence[str] = (), id_col:
     """The k best rows (of each group) with their ranks; globally a top-k per task comes first, so one task only ranks k rows a task."""
     if within:
         return ordinal_rank(rows, value, "rank", within, id_col).where(F.col("rank") < k)
-    return ordinal_rank(rows.orderBy(F.desc(value), id_col).limit(k), value, "rank", (), id_col)
+    best = rows.orderBy(F.desc(value), id_col).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), id_col)) - 1)
 
 
 def with_accounts(ranked: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,22 @@ def long_form(wide: DataFrame) -> DataFrame:
 def wide_form(long: DataFrame, series: list[str]) -> DataFrame:
     """One column a series."""
     return long.groupBy("bin").pivot("series", series).agg(F.sum("value"))
+
+
+def binned_counts_by_key(rows: DataFrame, minutes: int, column: str, key: str = "key", time_col: str = "datetime_est") -> DataFrame:
+    """``binned_counts`` of many sets in one job: ``key, bin`` and the counts, every bin of the common calendar for each key."""
+    binned = rows.withColumn("bin", floor_time(time_col, minutes))
+    found = binned.groupBy(key, "bin").agg(*[F.count_distinct(F.when(m, F.col(column))).alias(f"n_{v}") for v, m in _masks().items()])
+    grid = found.select(key).distinct().withColumn("_one", F.lit(1)).join(calendar(found, minutes).withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return grid.join(found, [key, "bin"], "left").fillna(0)
+
+
+def blank_where_missing(wide: DataFrame, lead: str) -> DataFrame:
+    """Every series is null where the leading one is."""
+    return wide.select("bin", *[F.when(F.col(lead).isNotNull(), F.col(c)).alias(c) for c in wide.columns if c != "bin"])
+
+
+def standardised(long: DataFrame) -> DataFrame:
+    """Each series less its mean, over its standard deviation (of the whole, not of a sample); null for a constant one."""
+    own = Window.partitionBy("series")
+    return long.withColumn("value", F.try_divide(F.col("value") - F.avg("value").over(own), F.stddev_pop("value").over(own)))

@@ -154,6 +154,21 @@ def edges_two_periods(spark, d):
     return parts[0].unionByName(parts[1]).groupBy("period").agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_src"))
 
 
+@query
+def client_map_merged(spark, d):
+    tweets = t.tweets(spark, d)
+    first = edges.client_ids(edges.in_period(tweets, "datetime_est", START, MIDDLE).where("source_content <> 'view'"))
+    return edges.merge_client_maps(first, edges.client_ids(tweets))
+
+
+@query
+def edges_global_client(spark, d):
+    tweets = t.tweets(spark, d)
+    own = edges.client_ids(tweets)
+    merged = edges.merge_client_maps(edges.client_ids(tweets.where("source_content <> 'view'")), own)
+    return edges.to_global_clients(edges.with_client(edges.interaction_edges(t.interactions(spark, d), "all"), tweets, own), own, merged)
+
+
 @query
 def graph_simple(spark, d):
     return _retweet_graph(spark, d).simple().edges
@@ -306,6 +321,18 @@ def masked_days(spark, d):
     return series.drop_days_with_gaps(binned, 60)
 
 
+@query
+def category_hourly(spark, d):
+    url = t.urls(spark, d)
+    keyed = url.join(_bridge(url).select("key", F.col("hostname").alias("final_hostname")), "final_hostname")
+    return series.binned_counts_by_key(keyed, 60, "tweet_id")
+
+
+@query
+def standardised_series(spark, d):
+    return series.standardised(series.long_form(_hourly(spark, d))).withColumn("value", F.round("value", 6))
+
+
 @query
 def wide_series(spark, d):
     return _hourly(spark, d)
@@ -347,6 +374,12 @@ def ci_static_undir(spark, d):
     return influence.static_ci(_simple(spark, d), 2, "undir")
 
 
+@query
+def enriched_vertices(spark, d):
+    out = influence.enriched_vertices(_simple(spark, d))
+    return out.withColumn("katz", F.round("katz", 9)).withColumn("katz_rev", F.round("katz_rev", 9))
+
+
 @query
 def ci_adaptive(spark, d):
     return influence.adaptive_ci(_retweet_graph(spark, d).simple().edges.withColumn("graph_id", F.lit("retweet_simple")), 2, "out")

@@ -121,6 +121,13 @@ def oracle_sql() -> dict[str, str]:
         "edges_media_not_aggr": _with("rt tw url stat aggr", f"SELECT src, dst, tweet_id FROM rt WHERE {_PERIOD} AND {_media('net', False)}"),
         "edges_with_source": _with("rt tw", "SELECT src, dst, tweet_id, source_id::INTEGER AS source_id FROM rt LEFT JOIN tw USING (tweet_id) LEFT JOIN (SELECT source_content, row_number() OVER (ORDER BY source_content) - 1 AS source_id FROM (SELECT DISTINCT source_content FROM tw)) USING (source_content)"),
         "edges_two_periods": _with("rt tw", "SELECT CASE WHEN datetime_est < TIMESTAMP '2024-01-15' THEN 'first' ELSE 'second' END AS period, count(*)::BIGINT AS n_edges, count(DISTINCT src)::BIGINT AS n_src FROM rt JOIN tw USING (tweet_id) WHERE datetime_est >= TIMESTAMP '2024-01-01' AND datetime_est < TIMESTAMP '2024-02-01' GROUP BY 1"),
+        "client_map_merged": _with("tw", "SELECT source_id::INTEGER AS source_id, source_content FROM a UNION ALL SELECT ((SELECT max(source_id) FROM a) + row_number() OVER (ORDER BY source_content))::INTEGER, source_content FROM (SELECT DISTINCT source_content FROM tw WHERE source_content NOT IN (SELECT source_content FROM a))",
+            "a AS (SELECT source_content, row_number() OVER (ORDER BY source_content) - 1 AS source_id FROM (SELECT DISTINCT source_content FROM tw WHERE source_content <> 'view' AND datetime_est >= TIMESTAMP '2024-01-01' AND datetime_est < TIMESTAMP '2024-01-15'))"),
+        "edges_global_client": _with("it tw", "SELECT src, dst, tweet_id, (CASE WHEN source_content = 'view' THEN (SELECT count(DISTINCT source_content) - 1 FROM tw) ELSE i END)::INTEGER AS source_id FROM (SELECT DISTINCT src, dst, tweet_id FROM it) JOIN tw USING (tweet_id) LEFT JOIN (SELECT source_content, row_number() OVER (ORDER BY source_content) - 1 AS i FROM (SELECT DISTINCT source_content FROM tw WHERE source_content <> 'view')) USING (source_content)"),
+        "enriched_vertices": f"SELECT user_id, k_out, k_in, o.ci AS ci_out, i.ci AS ci_in, k.katz AS katz, r.katz AS katz_rev FROM ({_with('vx ko ki', _SIMPLE)}) JOIN ({_static('ko', 'se')}) o USING (user_id) JOIN ({_static('ki', 're')}) i USING (user_id) JOIN ({_katz('se')}) k USING (user_id) JOIN ({_katz('re')}) r USING (user_id)",
+        "category_hourly": _with("url br", "SELECT k.key, c.bin, coalesce(n_all, 0)::BIGINT AS n_all, coalesce(n_no, 0)::BIGINT AS n_no_retweet, coalesce(n_off, 0)::BIGINT AS n_official FROM (SELECT DISTINCT key FROM g) k CROSS JOIN (SELECT unnest(generate_series(min(bin), max(bin), INTERVAL 1 HOUR)) AS bin FROM g) c LEFT JOIN g ON g.key = k.key AND g.bin = c.bin",
+            "g AS (SELECT key, time_bucket(INTERVAL 1 HOUR, datetime_est) AS bin, count(DISTINCT tweet_id) AS n_all, count(DISTINCT CASE WHEN retweeted_status = 0 THEN tweet_id END) AS n_no, count(DISTINCT CASE WHEN is_official THEN tweet_id END) AS n_off FROM url JOIN br ON host = hostname GROUP BY 1, 2)"),
+        "standardised_series": _with("lg", "SELECT bin, series, round((value - avg(value) OVER (PARTITION BY series)) / nullif(stddev_pop(value) OVER (PARTITION BY series), 0), 6) AS value FROM lg"),
         "graph_simple": _with("se", "SELECT src, dst FROM se"),
         "degrees": _with("vx rt", _COMPLETE),
         "network_stats": _with("vx rt ko ki", _STATS.format(t="complete", k=_COMPLETE) + " UNION ALL " + _STATS.format(t="simple", k=_SIMPLE)),

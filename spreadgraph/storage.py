@@ -47,22 +47,22 @@ def _clean() -> None:
 
 
 def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+    """Write ``df`` to the shared folder and return the written table. Its files go when the program ends, or by ``release``."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table that ``keep`` returned, once nothing reads it any more."""
-    files = set(df.inputFiles())
-    for spark, path in list(_written):
-        leaf = path.rsplit("/", 1)[-1]
-        if any(f"/{leaf}/" in f for f in files):
-            _remove(spark, path)
-            _written.remove((spark, path))
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``keep`` returned and that nothing lazy reads any more."""
+    for df in tables:
+        if path := getattr(df, "_kept_at", None):
+            _remove(df.sparkSession, path)
+            _written[:] = [w for w in _written if w[1] != path]
 
 
 #: Rows of an Arrow batch to and from Python workers: whole documents can be long, and a worker holds a batch at a time.
