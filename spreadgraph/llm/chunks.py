@@ -18,11 +18,14 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
 
 
 def in_chunks(docs: DataFrame, id_col: str, text_col: str, total: int, size: int, *more: F.Column) -> DataFrame:
-    """``chunk, doc_id, raw`` and more columns, with about ``size`` bytes a chunk (a longer text makes a longer chunk)."""
+    """``chunk, doc_id, raw`` and more columns, with about ``size`` bytes a chunk (a longer text makes a longer chunk).
+
+    Ids are text here: pandas would turn a column of long integers with a null into floats.
+    """
     count = max(1, math.ceil(total / size))
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     chunk = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.crc32(raw)), F.lit(count)).cast("int")
-    return docs.select(chunk.alias("chunk"), F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"), *more)
+    return docs.select(chunk.alias("chunk"), F.col(id_col).cast("long").cast("string").alias("doc_id"), raw.alias("raw"), *more)
 
 
 def bucket_bits(keys: float, per_bucket: int, least: int = 6) -> int:

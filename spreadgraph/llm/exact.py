@@ -41,7 +41,7 @@ def frequent(rows: DataFrame, column: str, counters: int = COUNTERS) -> DataFram
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = misra_gries((b[column] for b in batches), counters)
-        yield pd.DataFrame({column: list(held), "n": list(held.values())})
+        yield pd.DataFrame({column: pd.Series(list(held), dtype=object), "n": pd.Series(list(held.values()), dtype="int64")})
 
     parts = rows.select(column).mapInPandas(summarise, f"{column} string, n long")
     merged = parts.groupBy(column).agg(F.sum("n").alias("n")).where("n > 1")

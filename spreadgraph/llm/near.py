@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from spreadgraph.llm.hashing import LOWER, batches_of, joined, mix, word_hashes, word_spans
 from spreadgraph.operators.components import connected_components
-from spreadgraph.storage import keep, ship
+from spreadgraph.storage import keep, release, ship
 
 WORDS = 5
 #: The similarity as a fraction: 100 * intersection >= PERCENT * union.
@@ -339,6 +339,7 @@ def near_classes(docs: DataFrame, name: Column, text_col: str = "text") -> DataF
     across = keep(verify(second, sets), "links")
     if across.limit(1).count():
         classes = connected_components(across.union(classes.select("node", "component")), "a", "b")
+    release(sets, heads, first, links, across)
     members = counted.where("is_doc").select("doc_id", "digest", F.col("n").alias("n_shingles"))
     placed = members.join(classes.select(F.col("node").alias("digest"), "component"), "digest", "left")
     return placed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "digest")).alias("class"))

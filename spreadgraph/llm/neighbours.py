@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadgraph.llm.shard import number_within
-from spreadgraph.storage import keep, ship
+from spreadgraph.operators.numbering import number_within
+from spreadgraph.storage import keep, release, ship
 
 CURVES = 8
 #: Projected coordinates and bits a coordinate of a curve's key; their product stays below 63.
@@ -207,6 +207,7 @@ def search_neighbours(
     points = vectors.mapInPandas(keyed, "_curve int, _key long, _id long, _query boolean, _v binary")
     ordered = keep(points.repartitionByRange(parts, "_curve", "_key", "_id").sortWithinPartitions("_curve", "_key", "_id"), "curves")
     placed = keep(number_within(ordered, "_curve", "_rank").withColumn("_segment", F.floor(F.col("_rank") / segment)).drop("_rank", "_key"), "segments")
+    release(ordered)
     sample = vectors.where("_query").select("_id", "_v").orderBy(F.xxhash64("_id"), "_id").limit(sample_queries).toPandas().drop_duplicates("_id")
     window = _fit_window(placed, vectors, sample, k, target)
 

@@ -22,7 +22,7 @@ from spreadgraph.storage import ship
 #: Hashed terms: bounds the model.
 BUCKETS = 1 << 20
 #: Labelled rows that the fit may use, those with the smallest hashes: bounds the driver's share.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: Factors of a term.
 RANK = 4
 #: Sample documents that must hold a term before it gets weights.
@@ -93,9 +93,8 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs:
     none = np.empty(0, np.int64)
     if not len(y) or y.min() == y.max():
         return FactorizationMachine(none, np.empty(0), np.empty((0, rank)), -30.0 if not len(y) or y[0] == 0 else 30.0)
-    flat = np.concatenate(samples) if samples else none
-    terms, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(len(samples)), [len(s) for s in samples])
+    terms, inverse, df = np.unique(np.concatenate(samples), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(samples), dtype=np.int32), [len(s) for s in samples])
     positive = np.bincount(inverse, weights=y[doc], minlength=len(terms))
     share = y.mean()
     often = (df >= least_docs) & (np.abs(positive - df * share) >= least_z * np.sqrt(df * share * (1 - share)))
@@ -140,7 +139,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs:
         norm = np.sqrt((v**2).sum(1, keepdims=True))
         v = v * np.maximum(1 - shrink(2).mean(1, keepdims=True) / np.maximum(norm, 1e-12), 0)
     live = (np.abs(w) > 0) | (np.abs(v).sum(1) > 0)
-    return FactorizationMachine(terms[live], w[live], v[live], bias)
+    return FactorizationMachine(terms[live].astype(np.int64), w[live], v[live], bias)
 
 
 def is_held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -165,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # at most sample_rows rows
     got = texts.mapInPandas(hashed, "_id long, _y int, _f binary").limit(2 * sample_rows).toPandas().drop_duplicates("_id").sort_values("_id")
-    return fit([np.frombuffer(f, np.int32).astype(np.int64) for f in got["_f"]], got["_y"].to_numpy())
+    return fit([np.frombuffer(f, np.int32) for f in got["_f"]], got["_y"].to_numpy())
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
