@@ -34,6 +34,8 @@ GRAM = 32
 BLOCK = 200
 #: Different texts of one minimizer that a task may gather.
 HOT = 2_000
+#: Different texts of one minimizer in a chunk beyond which the chunk names the minimizer once, and it counts as over HOT.
+CROWD = 50
 CHUNK_BYTES = 3 << 20
 #: Bytes of text looked at in one go.
 AT_ONCE = 1 << 20
@@ -245,8 +247,8 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-_STATE = ("i4", "i8", "i8", "i4", "u8", "u1")  # of runs: text, first, last, entry; of entries: key, whether the text stands twice
-_ENTRY = ("u8", "u8", "u1", "u1")  # key, hash, texts in the chunk (2: or more), minimizer twice in it
+_STATE = ("i4", "i8", "i8", "i4", "u8", "u1", "i4")  # of runs: text, first, last, entry; of entries: key, whether the text stands twice, place among those sent
+_ENTRY = ("u8", "u8", "u1", "u1", "u1")  # key, hash, texts in the chunk (2: or more), minimizer twice in it, a crowd of texts
 
 
 def _in_order(rows: pd.DataFrame) -> tuple[list[str | None], list[bytes]]:
@@ -257,9 +259,9 @@ def _in_order(rows: pd.DataFrame) -> tuple[list[str | None], list[bytes]]:
 
 def _info(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """A chunk's runs and the status of its entries."""
-    state = _unpack(rows.loc[rows["kind"] == "runs", "blob"].iat[0], *_STATE)
+    *state, sent = _unpack(rows.loc[rows["kind"] == "runs", "blob"].iat[0], *_STATE)
     parts = rows[rows["kind"] == "status"].sort_values("bucket")["blob"]
-    return state, np.frombuffer(b"".join(parts), np.uint8)
+    return state, np.frombuffer(b"".join(parts), np.uint8)[sent]
 
 
 def _spread_windows(texts: list[bytes], state: list[np.ndarray], status: np.ndarray, rep: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -298,17 +300,23 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, with_k
         many = np.minimum(np.bincount(entry, minlength=len(key)), 2)
         twice = np.bincount(entry, weights=r.twice, minlength=len(key)) > 0
         chunk = int(rows["chunk"].iat[0])
-        out = [(chunk, -1, "runs", _pack(r.text.astype("i4"), r.first, r.last, entry.astype("i4"), key, (many > 1).astype("u1")))]
+        _, of_key, texts = np.unique(key, return_inverse=True, return_counts=True)
+        crowd = texts[of_key] > CROWD
+        lead = np.ones(len(key), bool)
+        lead[1:] = ~crowd[1:] | (key[1:] != key[:-1])  # of a crowd the first entry stands for all
+        sent = np.cumsum(lead) - 1
+        out = [(chunk, -1, "runs", _pack(r.text.astype("i4"), r.first, r.last, entry.astype("i4"), key, (many > 1).astype("u1"), sent.astype("i4")))]
+        key, whole, many, twice, crowd = (x[lead] for x in (key, whole, many, twice, crowd))
         at = bucket_bounds(key, bits)
         for b in range(1 << bits):
             own = slice(at[b], at[b + 1])
             if own.stop > own.start:
-                out.append((chunk, b, "entries", _pack(key[own], whole[own], many[own].astype("u1"), twice[own].astype("u1"))))
+                out.append((chunk, b, "entries", _pack(key[own], whole[own], many[own].astype("u1"), twice[own].astype("u1"), crowd[own].astype("u1"))))
         return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "blob"])
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
         opened = [_unpack(b, *_ENTRY) for b in rows["blob"]]
-        key, whole, many, twice = (np.concatenate([o[i] for o in opened]) for i in range(4))
+        key, whole, many, twice, crowd = (np.concatenate([o[i] for o in opened]) for i in range(5))
         order = np.lexsort((whole, key))
         k, w = key[order], whole[order]
         first = np.ones(len(k), bool)
@@ -318,7 +326,7 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, with_k
         group = np.cumsum(first) - 1
         n = int(group[-1]) + 1
         count = np.bincount(group, weights=many[order], minlength=n)
-        texts = np.bincount(group, weights=other, minlength=n)
+        texts = np.bincount(group, weights=np.where(crowd[order] > 0, HOT + 1, other), minlength=n)
         again = np.bincount(group, weights=twice[order], minlength=n) > 0
         verdict = np.where(again | (texts > 1), np.where(texts > HOT, SPREAD, MIXED), np.where(count > 1, SETTLED, UNIQUE)).astype(np.uint8)
         status = np.empty(len(k), np.uint8)

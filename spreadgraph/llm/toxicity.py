@@ -163,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             yield pd.DataFrame({"_id": b["_id"], "_y": b["_y"], "_f": [terms(t).astype(np.int32).tobytes() for t in b["_text"]]})
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")  # at most sample_rows rows
-    got = texts.mapInPandas(hashed, "_id long, _y int, _f binary").limit(2 * sample_rows).toPandas().drop_duplicates("_id").sort_values("_id")
+    # one row an id: a repeated one counts once
+    got = texts.mapInPandas(hashed, "_id long, _y int, _f binary").dropDuplicates(["_id"]).toPandas().sort_values("_id")
     return fit([np.frombuffer(f, np.int32) for f in got["_f"]], got["_y"].to_numpy())
 
 

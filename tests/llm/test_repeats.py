@@ -62,6 +62,12 @@ def test_spread_minimizers_equal_brute_force(spark, monkeypatch):
     compare(spark, sample())
 
 
+def test_crowds_in_a_chunk_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 40_000)
+    monkeypatch.setattr(repeats, "CROWD", 1)
+    compare(spark, sample())
+
+
 def test_rows_in_any_order(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 20_000)
     texts = sample()
