@@ -69,8 +69,9 @@ def _bridge(url: DataFrame) -> DataFrame:
 
 
 def _media_tweets(url: DataFrame, category: str, aggregators: bool) -> DataFrame:
-    chosen = _stat(url).where((F.col("category") == category) & (F.col("perccum") > THRESHOLD)).select("hostname")
-    return edges.linking_to(url, chosen if aggregators else hosts.without(chosen, t.aggregators(url)))
+    stat = _stat(url)
+    chosen = stat.where((F.col("category") == category) & (F.col("perccum") > THRESHOLD)).select("hostname")
+    return edges.linking_to(url, chosen if aggregators else hosts.without(chosen, t.aggregators(stat)))
 
 
 def _media_edges(spark: SparkSession, d: str, category: str, aggregators: bool = False) -> DataFrame:
@@ -81,8 +82,8 @@ def _media_edges(spark: SparkSession, d: str, category: str, aggregators: bool =
 def _rankings(spark: SparkSession, d: str, depth: int) -> DataFrame:
     """``media_type, rank, user_id, k_out, screenname, is_verified`` of the best users by k_out in each media's simple graph."""
     url = t.urls(spark, d)
-    stat = _stat(url).where(F.col("perccum") > THRESHOLD)
-    chosen = hosts.without(stat, t.aggregators(url)).select(F.col("hostname").alias("final_hostname"))
+    stat = _stat(url)
+    chosen = hosts.without(stat.where(F.col("perccum") > THRESHOLD), t.aggregators(stat)).select(F.col("hostname").alias("final_hostname"))
     media = url.join(chosen, "final_hostname", "left_semi").select("tweet_id", F.col("category").alias("media_type"))
     e = _retweets(spark, d).join(media, "tweet_id").where("src <> dst").select("media_type", "src", "dst").distinct()
     k = e.groupBy("media_type", F.col("src").alias("user_id")).agg(F.count("*").alias("k_out"))

@@ -52,7 +52,7 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``kind, tweet_id, src, dst``: src is responded to by dst."""
     e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    before = previous(e, "user_id", ("ts", "event_id"), F.date_trunc("hour", "ts"), "src")
+    before = previous(e, "user_id", ("ts", "event_id"), F.date_trunc("minute", "ts"), "src")
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
     return before.where(F.col("src").isNotNull()).select(F.element_at(kind, F.col("event_type")).alias("kind"), F.col("event_id").alias("tweet_id"), "src", F.col("user_id").alias("dst")).where(F.col("kind").isNotNull())
 
@@ -89,9 +89,9 @@ def category_of(host: F.Column) -> F.Column:
     return F.regexp_extract(host, r"([^.]+)$", 1)
 
 
-def aggregators(url: DataFrame) -> DataFrame:
-    """``hostname`` of news aggregators."""
-    return url.select(F.col("final_hostname").alias("hostname")).where(F.col("hostname").startswith("blog.")).distinct()
+def aggregators(hosts: DataFrame) -> DataFrame:
+    """``hostname`` of news aggregators, from a table with one row a host."""
+    return hosts.select("hostname").where(F.col("hostname").startswith("blog."))
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
