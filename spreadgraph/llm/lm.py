@@ -4,8 +4,9 @@ Every n-gram of the training texts is counted, whatever its frequency. The state
 reads a word that followed the context and weighs its smoothed log-probability; a failure arc leads to the context without its first
 word and weighs the mass kept for words that did not follow. One traversal of a text from left to right carries the state and adds up.
 
-Smoothing interpolates each order with the one below: P(w | h) = (c(hw) + MASS * P(w | h')) / (c(h) + MASS), down to the add-0.1
-unigram; c(h) is the context's own count. The model is never gathered anywhere: documents are scored in chunks, and a chunk builds the
+Smoothing interpolates each order with the one below: P(w | h) = (c(hw) + m * P(w | h')) / (c(h) + m), down to the add-0.1 unigram;
+c(h) is the context's own count and m, the pseudo-counts it leaves to the order below, is RATIO * c(h) but MASS at most: a rare context
+keeps a fixed share for words not seen after it, a frequent one less and less. The model is never gathered anywhere: documents are scored in chunks, and a chunk builds the
 part of the automaton that its texts can reach from the counts of its own n-grams.
 """
 
@@ -21,8 +22,9 @@ from spreadgraph.llm.hashing import LOWER, joined, mix, word_hashes, word_spans
 from spreadgraph.storage import ship
 
 ORDER = 2
-#: Pseudo-counts that a context gives to the order below.
-MASS = 500.0
+#: Pseudo-counts that a context leaves to the order below: so many for each of its own, and at most.
+RATIO = 3.0
+MASS = 2000.0
 #: Added to a unigram's count.
 ADDED = 0.1
 CHUNK_BYTES = 4 << 20
@@ -78,6 +80,11 @@ def taught_counts(tokens: Tokens, ids: list[np.ndarray], n: int, taught: np.ndar
     return sum(np.bincount(i[learn & (i >= 0)], minlength=n) for i in ids)
 
 
+def left_mass(seen: np.ndarray, mass: float, ratio: float) -> np.ndarray:
+    """Pseudo-counts that contexts of these counts leave to the order below."""
+    return np.minimum(mass, ratio * np.maximum(seen, 1))
+
+
 class Automaton:
     """The part of the backoff automaton that one chunk can reach.
 
@@ -86,7 +93,7 @@ class Automaton:
     context without its first word.
     """
 
-    def __init__(self, tokens: Tokens, ids: list[np.ndarray], counts: np.ndarray, words: int, total: int, distinct: int, starts: int, mass: float = MASS):
+    def __init__(self, tokens: Tokens, ids: list[np.ndarray], counts: np.ndarray, words: int, total: int, distinct: int, starts: int, mass: float = MASS, ratio: float = RATIO):
         order = len(ids)
         self.width, self.word, self.order = words, ids[0], order
         self.count = counts[:words]
@@ -97,7 +104,8 @@ class Automaton:
         state[contexts] = np.arange(2, 2 + len(contexts))
         seen = np.concatenate(([total, starts], counts[contexts])).astype(float)  # by state
         self.fail = np.zeros(len(seen), np.int64)
-        self.fail_weight = np.log10(mass / (seen + mass))
+        below = left_mass(seen, mass, ratio)
+        self.fail_weight = np.log10(below / (seen + below))
         p = 10 ** self.base[self.word]  # of each token, by contexts of rising length
         root = np.arange(words)
         keys, weights, to = [root], [self.base], [state[:words].clip(0)]
@@ -110,7 +118,7 @@ class Automaton:
             has = source >= 0
             self.before = np.where(has, source, self.before)
             own = np.where(ids[n - 1] >= 0, counts[ids[n - 1]], 0)
-            p = np.where(has, (own + mass * p) / (np.where(has, seen[source], 0.0) + mass), p)
+            p = np.where(has, (own + below[source] * p) / (seen[source] + below[source]), p)
             at = np.flatnonzero(has & (own > 0))
             key, one = np.unique(source[at] * words + self.word[at], return_index=True)
             at = at[one]
@@ -193,7 +201,7 @@ def _fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(True))
 
 
-def score_texts(docs: DataFrame, order: int = ORDER, mass: float = MASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, mass: float = MASS, ratio: float = RATIO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every text with a model of those that are not held out.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Null texts are empty: their one token is the end.
@@ -241,7 +249,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, mass: float = MASS, id_col:
         by_bucket = answer.sort_values("bucket")
         counts = np.concatenate([_unpack_counts(memoryview(b)[8:], int.from_bytes(b[:8], "little")) for side in ("words", "grams") for b in by_bucket[side]])
         total, distinct, texts = (int(answer[c].iat[0]) for c in ("n", "v", "texts"))
-        model = Automaton(tokens, ids, counts, len(words), total, distinct, texts, mass)
+        model = Automaton(tokens, ids, counts, len(words), total, distinct, texts, mass, ratio)
         first = tokens.first[:-1]
         return pd.DataFrame({
             "doc_id": rows["doc_id"],

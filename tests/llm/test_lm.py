@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from spreadgraph.llm.lm import ADDED, MASS, Automaton, Tokens, numbered_grams, score_texts, taught_counts
+from spreadgraph.llm.lm import ADDED, Automaton, Tokens, numbered_grams, score_texts, taught_counts
 
 TEXTS = ["the cat sat on the mat", "The cat sat", None, "", "   ", "a b a b a b a", "the dog sat on the cat\nthe cat", "ü ö Ü", "zz " * 3000, "the cat sat on the mat"] * 3
 
@@ -16,7 +16,7 @@ def tokens(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w] + [None]
 
 
-def brute(rows, order):
+def brute(rows, order, mass=40.0, ratio=3.0):
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
     c = Counter()
     starts = 0
@@ -42,7 +42,8 @@ def brute(rows, order):
                     h = tuple(seq[j - n + 1 : j])
                     ch = starts if h == ("<s>",) else c[h]
                     if ch:
-                        p = (c[(*h, seq[j])] + MASS * p) / (ch + MASS)
+                        m = min(mass, ratio * ch)
+                        p = (c[(*h, seq[j])] + m * p) / (ch + m)
             score += math.log10(p)
         out[i] = (held[i], len(seq) - 1, sum(c[w,] > 0 for w in seq[1:]), total, base, score)
     return out
@@ -53,7 +54,7 @@ def test_scores_equal_brute_force(spark, order):
     rows = list(enumerate(TEXTS))
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
     want = brute(rows, order)
-    got = score_texts(docs, order=order).collect()
+    got = score_texts(docs, order=order, mass=40.0, ratio=3.0).collect()
     assert len(got) == len(rows)
     for r in got:
         h, n, k, total, base, score = want[r["doc_id"]]
