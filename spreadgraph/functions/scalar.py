@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +44,9 @@ def host_of(url: Column) -> Column:
 def without_suffix(name: Column, suffix: str = ".gt") -> Column:
     """A name without an ending (the ending as a whole, not its letters)."""
     return F.when(F.endswith(name, F.lit(suffix)), F.substring(name, F.lit(1), F.length(name) - len(suffix))).otherwise(name)
+
+
+def relabel(column: Column, labels: Mapping[str, str]) -> Column:
+    """Display names for values; a value without one keeps its own."""
+    named = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.element_at(named, column), column) if labels else column

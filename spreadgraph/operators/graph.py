@@ -74,3 +74,10 @@ def ccdf(values: DataFrame, column: str, normalise: bool = True) -> DataFrame:
     falling = Window.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
     at_least = F.sum("n").over(falling)
     return n.select("value", (at_least / F.sum("n").over(Window.partitionBy()) if normalise else at_least).alias("p"))
+
+
+def with_layout(vertices: DataFrame, positions: DataFrame, mirror_x: bool = False, mirror_y: bool = False) -> DataFrame:
+    """Vertices with fixed places ``x, y`` from a table of positions by ``user_id``, mirrored if asked for; unplaced ones have nulls."""
+    sign = lambda flip: F.lit(-1.0 if flip else 1.0)
+    placed = positions.select("user_id", (F.col("x") * sign(mirror_x)).alias("x"), (F.col("y") * sign(mirror_y)).alias("y"))
+    return vertices.join(placed, "user_id", "left")

@@ -61,6 +61,11 @@ def drop_days_with_gaps(binned: DataFrame, minutes: int, hour: int = 4) -> DataF
     return full.join(bad, "_day", "left_anti").drop("_day")
 
 
+def count_products(rows: DataFrame, minutes: int, time_col: str = "datetime_est") -> dict[str, DataFrame]:
+    """All counts of a set of posts: ``tweets`` and ``users`` per bin (each all, without retweets, official), and ``overall``."""
+    return {"tweets": binned_counts(rows, minutes, "tweet_id", time_col), "users": binned_counts(rows, minutes, "user_id", time_col), "overall": global_counts(rows)}
+
+
 def activity_of(rows: DataFrame, users: DataFrame, minutes: int, column: str = "tweet_id") -> DataFrame:
     """``binned_counts`` of the posts of some users."""
     return binned_counts(rows.join(users.select("user_id").distinct(), "user_id", "left_semi"), minutes, column)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -18,6 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 _fallback: dict[str, str] = {}
 _shipped: set[str] = set()
+_folders: list[str] = []  # temporary ones of the driver
+
+
+def _folder() -> str:
+    _folders.append(tempfile.mkdtemp(prefix="spreadgraph-"))
+    return _folders[-1]
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -25,8 +32,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local-cluster") and spark.sparkContext.master.startswith("local"):
-        return _fallback.setdefault("local", "file://" + tempfile.mkdtemp(prefix="spreadgraph-"))
+    if spark.sparkContext.master.partition("[")[0] == "local":
+        if "local" not in _fallback:
+            _fallback["local"] = f"file://{_folder()}"
+        return _fallback["local"]
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
@@ -44,6 +53,8 @@ def _clean() -> None:
     for spark, path in _written:
         if spark.sparkContext._jsc is not None:
             _remove(spark, path)
+    for folder in _folders:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -78,7 +89,7 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     here = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="spreadgraph-"), "spreadgraph_src.zip")
+    archive = os.path.join(_folder(), "spreadgraph_src.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for folder, _, names in os.walk(here):
             for n in names:

@@ -104,6 +104,8 @@ def test_bins_days_and_gaps(spark):
     posts = spark.createDataFrame([(1, 7, T(2024, 1, 1, 0, 2)), (1, 7, T(2024, 1, 1, 0, 17)), (2, 7, T(2024, 1, 1, 0, 17))], "tweet_id long, user_id long, datetime_est timestamp_ntz").withColumn("retweeted_status", F.lit(0)).withColumn("is_official", F.lit(False))
     got = series.binned_counts(posts, 5, "tweet_id").orderBy("bin").collect()
     assert [r["n_all"] for r in got] == [1, 0, 0, 2] and {r["n_official"] for r in got} == {0}
+    products = series.count_products(posts, 5)
+    assert products["users"].where("n_all > 0").count() == 2 and products["overall"].collect()[0]["tweets_all"] == 2
     days = spark.createDataFrame([(T(2024, 1, 2, 3, 59, 59),), (T(2024, 1, 2, 4),)], "t timestamp_ntz").select(series.day_start("t").alias("d"))
     assert [r["d"] for r in days.collect()] == [T(2024, 1, 1, 4), T(2024, 1, 2, 4)]
     hours = [T(2024, 1, 1, 4) + dt.timedelta(hours=h) for h in range(72) if h != 30]
@@ -119,6 +121,17 @@ def test_scalar_functions(spark):
     assert (row["l"], row["d"], row["n"], row["h"], row["f"]) == ([0.5, 0.75], [0.75], "a_target", "x.y", "")
 
 
+def test_labels_layout_and_blanks(spark):
+    row = spark.range(1).select(scalar.relabel(F.lit("a"), {"a": "A"}).alias("x"), scalar.relabel(F.lit("b"), {"a": "A"}).alias("y"), scalar.relabel(F.lit("b"), {}).alias("z")).collect()[0]
+    assert tuple(row) == ("A", "b", "b")
+    from spreadgraph.operators.graph import with_layout
+
+    v = with_layout(spark.createDataFrame([(1,), (2,)], "user_id long"), spark.createDataFrame([(1, 0.5, 2.0)], "user_id long, x double, y double"), mirror_x=True)
+    assert rows(v.where("x is not null")) == [(1, -0.5, 2.0)] and v.count() == 2
+    wide = spark.createDataFrame([(1, None, 5), (2, 3, 6)], "bin int, tot int, a int")
+    assert {tuple(r) for r in series.blank_where_missing(wide, "tot").collect()} == {(1, None, None), (2, 3, 6)}
+
+
 def test_store(spark, tmp_path):
     g = SpreadGraph.of(spark.createDataFrame([(1, 2)], "src long, dst long"))
     root = f"file://{tmp_path}/g"
