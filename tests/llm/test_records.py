@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import zlib
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spreadgraph.llm import packing
-from spreadgraph.llm.mixing import mix_sources
+from spreadgraph.llm.mixing import mix_sources, poisson_cdf, poisson_span
 from spreadgraph.llm.neighbours import hilbert_keys, search_neighbours
 from spreadgraph.llm.packing import WordEncoder, best_config, best_fit, pack_documents, solve
 from spreadgraph.llm.shard import shard_records
@@ -98,6 +99,31 @@ def test_mixing_edge_cases(spark):
     assert {r["source"] for r in only} == {"a"} and len(only) > 120
 
 
+def test_copies_are_poisson_quantiles_at_large_rates(spark):
+    # one document of 1 byte of mass beside large sources: its source's rate is far above 745, where exp(-rate) is 0
+    schema = "doc_id long, text string, source string"
+    for length, sources, least in ((1_200, 1, 20), (3_000_000, 1, 1700), (4_000_000, 3, 600), (36_000_000, 1, 5900)):
+        rows = [(-1 - i, "", f"tiny{i}") for i in range(4)] + [(i, "t" * length, f"big{i}") for i in range(sources)]
+        got = mix_sources(spark.createDataFrame(rows, schema), ordered=False).where("doc_id < 0").groupBy("doc_id").agg(F.max("rate").alias("rate"), F.max("n_copies").alias("n"), F.count("*").alias("rows"), F.countDistinct("copy").alias("copies")).collect()
+        assert len(got) == 4
+        for r in got:
+            rate, u = r["rate"], int(hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            assert rate > least
+            below = j = 0
+            while (below := below + math.exp(j * math.log(rate) - rate - math.lgamma(j + 1))) <= u:
+                j += 1
+            assert r["n"] == r["rows"] == r["copies"] == j and abs(j - rate) < 6 * math.sqrt(rate)
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.3, 1.0, 40.0, 700.0, 1000.0, 6000.0, 170000.0])
+def test_poisson_law(rate):
+    low, far = poisson_span(rate)
+    cdf = poisson_cdf(rate)
+    assert len(cdf) == far - low + 1 and cdf[-1] == 1 and (np.diff(cdf) >= 0).all()
+    want = np.cumsum([math.exp(j * math.log(rate) - rate - math.lgamma(j + 1)) if rate else float(j == 0) for j in range(low, far + 1)])
+    assert np.abs(cdf - want).max() < 1e-8
+
+
 # -------------------------------------------------------------------------------------------------------------- packing
 
 
