@@ -2,8 +2,9 @@
 
 A page becomes a sequence of text blocks, each with the path of tags from the root to it. Text length, punctuation and link text are
 aggregated per path; the fused ratio of a path says how much running text its nodes hold. The ratios, smoothed along the page, vote
-for the paths whose smoothed value reaches a threshold, and the tag that holds those paths together is the content root: its blocks,
-short ones too, are the text, but for links, notices, comments and the like.
+for the paths whose smoothed value reaches a threshold, and the tag that holds those paths together is the content root. The text is
+the blocks, short ones too, of the article around the root or of the elements alike, and what else reaches the threshold, but for
+links, notices, comments and the like.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _TAG_END = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_HEADING = re.compile(r"h[1-6]")
 _PUNCTUATION = re.compile(r"[.,;:!?。，！？；：、]")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
 
@@ -190,31 +192,72 @@ def smooth(values: list[float], kernel: tuple[float, ...] = (0.25, 0.5, 0.25)) -
     return [sum(k * values[min(max(i + j - half, 0), len(values) - 1)] for j, k in enumerate(kernel)) for i in range(len(values))]
 
 
-def content_root(found: list[Block], share: float = 0.8) -> tuple[str, ...]:
-    """The deepest path that holds ``share`` of the text of the blocks whose smoothed ratio reaches the threshold."""
+def levels(found: list[Block]) -> tuple[list[float], float]:
+    """The blocks' smoothed ratios and the threshold: half their mean, weighted by text."""
     ratios = path_ratios(found)
     level = smooth([ratios[b.path] for b in found])
     weight = [len(b.text) for b in found]
-    threshold = 0.5 * sum(x * w for x, w in zip(level, weight, strict=True)) / max(sum(weight), 1)
+    return level, 0.5 * sum(x * w for x, w in zip(level, weight, strict=True)) / max(sum(weight), 1)
+
+
+def content_root(found: list[Block], share: float = 0.8) -> tuple[str, ...]:
+    """The deepest path that holds ``share`` of the text of the blocks whose smoothed ratio reaches the threshold."""
+    level, threshold = levels(found)
     held: dict[tuple[str, ...], float] = defaultdict(float)
     everything = 0.0
-    for b, x, w in zip(found, level, weight, strict=True):
+    for b, x in zip(found, level, strict=True):
         if x >= threshold:
             marked = 2.0 if any(s.startswith(("article", "main")) or _CONTENT_MARK.search(s.replace(".", " ")) for s in b.path) else 1.0
-            everything += marked * w
+            everything += marked * len(b.text)
             for depth in range(len(b.path) + 1):
-                held[b.path[:depth]] += marked * w
-    enough = [p for p, w in held.items() if w >= share * everything and not (p and p[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "ul", "ol"))]
+                held[b.path[:depth]] += marked * len(b.text)
+    enough = [p for p, w in held.items() if w >= share * everything and not (p and _tag(p[-1]) in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "ul", "ol"))]
     return max(enough, key=len, default=())
 
 
+def _tag(step: str) -> str:
+    return step.partition(".")[0]
+
+
+def content_blocks(found: list[Block]) -> list[Block]:
+    """The blocks of the content, in order.
+
+    A root inside an article or main stands for all articles and mains of the page, any other for all elements with its tags,
+    whatever their class or id. Outside of them stay blocks whose smoothed ratio reaches the threshold, what lies between two blocks
+    of the content, and a heading before it with what follows; but no path that is half link text.
+    """
+    own = content_root(found)
+    root = [_tag(s) for s in own]
+    level, threshold = levels(found)
+    outer = {"article", "main"}
+    chars: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
+    for b in found:
+        c = chars[b.path]
+        c[0] += len("".join(b.text.split()))
+        c[1] += b.link_chars
+    prose = [2 * chars[b.path][1] < chars[b.path][0] for b in found]
+    if outer.isdisjoint(root):
+        inside = [b.path[: len(own)] == own or p and [_tag(s) for s in b.path[: len(own)]] == root for b, p in zip(found, prose, strict=True)]
+    else:
+        inside = [not outer.isdisjoint(map(_tag, b.path)) for b in found]
+    kept = [i for i in range(len(found)) if inside[i] or prose[i] and level[i] >= threshold]
+    if not kept:
+        return []
+    first, last = kept[0], kept[-1]
+    for i in range(first - 1, -1, -1):
+        if not prose[i]:
+            break
+        if any(_HEADING.fullmatch(_tag(s)) for s in found[i].path):
+            first = i
+    return [found[i] for i in range(first, last + 1) if inside[i] or prose[i]]
+
+
 def main_text(page: str | None) -> str:
     """The main text: blocks joined by newlines, white space inside a block turned into one space. No text: empty."""
     found = [b for b in blocks(page or "") if not b.boilerplate]
     if not found:
         return ""
-    root = content_root(found)
-    inside = [b for b in found if b.path[: len(root)] == root]
+    inside = content_blocks(found)
     # lists of links: nodes of one path that are nearly all link text
     linked: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
     for b in inside:

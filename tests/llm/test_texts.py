@@ -103,6 +103,27 @@ def test_content_found_by_ratios_without_names():
     assert main_text(page).split("\n")[-1] == "End." and "Link" not in main_text(page)
 
 
+LONG = "".join(f"<p>Sentence {i}, with a clause, and another one. It goes on for a while.</p>" for i in range(20))
+
+
+@pytest.mark.parametrize(
+    ("page", "first", "last"),
+    [
+        (f"<article><h1>Title</h1><div class=entry-content>{LONG}</div></article>", "Title", None),
+        (f"<main><h1>Title</h1><p>By me</p><article>{LONG}</article></main>", "Title", None),
+        (f"<article><div class=lead><p>A lead</p></div><div class=body>{LONG}</div><div class=end><p>Bye</p></div></article>", "A lead", "Bye"),
+        (f"<body><section id=s1><p>Short one.</p></section><section id=s2>{LONG}</section><section id=s3><p>Bye</p></section></body>", "Short one.", "Bye"),
+        (f"<body><article id=a1>{LONG}</article><article id=a2><p>Bye</p></article></body>", "Sentence 0", "Bye"),
+        (f"<div class=wrap><h1>Title</h1><p>By me</p><div class=entry>{LONG}</div></div>", "Title", None),
+        (f"<div class=wrap><div class=top><a href=/>Home</a></div><div class=entry>{LONG}</div><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></div>", "Sentence 0", None),
+    ],
+)
+def test_content_in_wrappers_and_several_sections(page, first, last):
+    got = main_text(page).split("\n")
+    assert got[0].startswith(first) and got[-1].startswith(last or "Sentence 19,")
+    assert sum(t.startswith("Sentence") for t in got) == 20 and ("<p>By me" not in page or got[1] == "By me")
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>a", "a"), ("<script>x", ""), ("a < b and c<d>e", "a < b and c\ne"), ("<p>x</p></p></div><p>y", "x\ny"), ("<nav>only menu</nav>", ""), ('<p title="a>b">q</p>', "q"), ('<p title="open>q</p>', "q"), ("<!-- never closed <p>x", "")],
