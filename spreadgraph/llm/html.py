@@ -21,17 +21,21 @@ from pyspark.sql import functions as F
 
 from spreadgraph.storage import ship
 
-_RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math canvas object select option datalist audio video map".split())
+_RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg canvas annotation annotation-xml select option datalist audio video map".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 #: Tags whose content is never main text.
-_BOILERPLATE = frozenset("head nav header footer aside form menu dialog button fieldset legend figure figcaption address".split()) | _RAW
+_BOILERPLATE = frozenset("head nav header footer aside form menu dialog button fieldset legend".split()) | _RAW
 #: Words of class, id and role that mark what is not main text.
 _MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|cookies?|consent|notices?|alert|popup|modal|overlay|"
     r"comments?|replies|respond|disqus|social|share|sharing|related|recommend\w*|newsletter|subscribe|signup|login|search|widget|toolbar|pagination|pager|copyright|legal|complementary|contentinfo|hidden|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Class names that say what a page has beside them, not what they are.
+_STATES = re.compile(r"(?:has|no|not|with|without)[_-]\S*", re.I)
+#: Marks that no article inside and no share of the page's text takes back.
+_FIRM = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|replies|respond|disqus|cookies?|consent|hidden)(?:$|[\s_-])", re.I)
 _CONTENT_MARK = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 #: Tags that a start tag closes when they are open, up to the nearest of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -49,6 +53,10 @@ class Block:
     text: str
     link_chars: int
     boilerplate: bool
+    #: The elements around it whose names alone mark them, by number; none if something else makes it boilerplate.
+    marked: tuple[int, ...] = ()
+    #: How many of them lie around the outermost article or main; 0 if there is none.
+    around: int = 0
 
 
 def _tags(page: str) -> Iterator[tuple[str, str, str]]:
@@ -107,7 +115,8 @@ def _attributes(text: str) -> tuple[str, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order. Unclosed tags end where HTML says so or with their parent; stray end tags are ignored."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step of the path, boilerplate
+    stack: list[tuple[str, str, bool, int]] = []  # tag, step of the path, boilerplate, number if only a name marks it
+    names_of: list[list[str]] = []  # of those, by number from 1
     parts: list[str] = []
     links = anchors = 0
 
@@ -115,12 +124,16 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, links
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(s for t, s, _ in stack if t not in _INLINE), text, links, any(b for _, _, b in stack)))
+            hard = any(b and not k for _, _, b, k in stack)
+            marked = () if hard else tuple(k for _, _, _, k in stack if k)
+            content = next((i for i, e in enumerate(stack) if e[0] in ("article", "main")), 0)
+            around = 0 if hard else sum(e[3] > 0 for e in stack[:content])
+            out.append(Block(tuple(s for t, s, _, _ in stack if t not in _INLINE), text, links, hard or bool(marked), marked, around))
         parts, links = [], 0
 
     def pop_to(depth: int) -> None:
         nonlocal anchors
-        for tag, _, _ in stack[depth:]:
+        for tag, _, _, _ in stack[depth:]:
             anchors -= tag == "a"
         del stack[depth:]
 
@@ -157,9 +170,15 @@ def blocks(page: str) -> list[Block]:
                 continue
             marks, hidden = _attributes(attributes) if len(attributes) > 1 else ("", False)
             structural = value in ("html", "body", "main", "article")
-            bad = hidden or value in _BOILERPLATE and not (value == "header" and any(t == "article" for t, _, _ in stack)) or not structural and bool(_MARKS.search(marks)) and not (value in _INLINE and value != "a")
+            hard = hidden or value in _BOILERPLATE and not (value == "header" and any(e[0] == "article" for e in stack))
+            names = [m for m in marks.split() if not _STATES.fullmatch(m)] if marks and not structural and (value not in _INLINE or value == "a") else []
+            bad = hard or bool(names) and bool(_MARKS.search(" ".join(names)))
+            number = 0
+            if bad and not hard:
+                names_of.append([m for m in names if _MARKS.search(m)])
+                number = len(names_of)
             step = value + ("." + ".".join(sorted(marks.split())) if marks and value not in _INLINE else "")
-            stack.append((value, step, bad))
+            stack.append((value, step, bad, number))
             anchors += value == "a"
         else:
             for depth in range(len(stack) - 1, -1, -1):
@@ -171,9 +190,45 @@ def blocks(page: str) -> list[Block]:
                 if value in _INLINE and stack[depth][0] not in _INLINE:
                     break
     flush()
+    if names_of:
+        _lift(out, names_of)
     return out
 
 
+def _lift(found: list[Block], names_of: list[list[str]]) -> None:
+    """Take back marks that only name the page's layout, on a page without an unmarked article or main.
+
+    They are those around an article or main with half the running text (text by its ratio), and names like menu-open, of which a part
+    is no mark, around four fifths of it. If nothing would stay, all go but firm ones, then all but names that are marks as a whole.
+    """
+    outer = {"article", "main"}
+    if any(not b.boilerplate and not outer.isdisjoint(map(_tag, b.path)) for b in found):
+        return
+    firm = {k for k, names in enumerate(names_of, 1) if any(_FIRM.search(m) for m in names)}
+    whole = {k for k, names in enumerate(names_of, 1) if any(all(_MARKS.fullmatch(x) for x in re.split(r"[_-]+", m.strip("_-"))) for m in names)}
+    soft = [b for b in found if b.marked or not b.boilerplate]
+    ratios = path_ratios(soft)
+    held: dict[int, float] = defaultdict(float)
+    inner: dict[int, float] = defaultdict(float)
+    everything = 0.0
+    for b in soft:
+        x = ratios[b.path] * len(b.text)
+        everything += x
+        for i, k in enumerate(b.marked):
+            held[k] += x
+            inner[k] += x * (i < b.around)
+    lifted = {k for k, x in inner.items() if k not in firm and 0 < 0.5 * everything <= x}
+    lifted |= {k for k, x in held.items() if k not in firm | whole and 0 < 0.8 * everything <= x}
+    for further in (set(held) - firm, set(held) - whole):
+        for b in soft:
+            b.boilerplate = not lifted.issuperset(b.marked)
+        if not all(b.boilerplate for b in soft):
+            return
+        lifted |= further
+    for b in soft:
+        b.boilerplate = not lifted.issuperset(b.marked)
+
+
 def path_ratios(found: list[Block]) -> dict[tuple[str, ...], float]:
     """The fused ratio of each path: mean text per node times mean punctuation per node (plus one), less by the share of link text."""
     total: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])

@@ -124,6 +124,27 @@ def test_content_in_wrappers_and_several_sections(page, first, last):
     assert sum(t.startswith("Sentence") for t in got) == 20 and ("<p>By me" not in page or got[1] == "By me")
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-header", "menu-open", "legal-news", "related-topic", "sidebar"])
+def test_marks_of_the_layout_around_the_content(name):
+    side = "<div class=sidebar><p>Side text, which is long, long. And longer.</p></div><div id=comments><article><p>Rude, very.</p></article></div>"
+    for page in (f"<div class={name}><article>{LONG}</article>{side}</div><p>End</p>", f"<div class={name}><div>{LONG}</div></div>"):
+        got = main_text(page)
+        assert got.count("Sentence") == 20 and "Side" not in got and "Rude" not in got
+
+
+def test_marks_stay_where_they_name_what_is_beside():
+    teasers = "<article class=teaser><p>Teaser, short.</p></article>" * 3
+    page = f"<div class=text>{LONG}</div><div class=sidebar>{teasers}</div><div class=comment-list><article><p>{'Rude, so rude. ' * 200}</p></article></div>"
+    got = main_text(page)
+    assert got.count("Sentence") == 20 and "Teaser" not in got and "Rude" not in got
+    assert main_text("<div class=cookie-notice><p>We use cookies, many.</p></div>") == ""
+
+
+def test_figures_addresses_and_formulas_are_text():
+    page = f"<article>{LONG}<figure><table><tr><td>Cell 1</table><figcaption>A caption</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p><object>Instead</object><address>Main Street 1</address></article>"
+    assert main_text(page).split("\n")[20:] == ["Cell 1", "A caption", "So x=2 holds.", "Instead", "Main Street 1"]
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>a", "a"), ("<script>x", ""), ("a < b and c<d>e", "a < b and c\ne"), ("<p>x</p></p></div><p>y", "x\ny"), ("<nav>only menu</nav>", ""), ('<p title="a>b">q</p>', "q"), ('<p title="open>q</p>', "q"), ("<!-- never closed <p>x", "")],
