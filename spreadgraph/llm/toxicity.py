@@ -29,6 +29,8 @@ RANK = 4
 LEAST_DOCS = 5
 #: Standard errors by which a term's share of labels must differ from the sample's: what is near 0 would only add noise to long texts.
 LEAST_Z = 3.5
+#: Pairs of terms that chance alone may be expected to keep.
+FALSE_PAIRS = 0.05
 EPOCHS = 150
 #: Lengths of the word beginnings that are terms too.
 BEGINNINGS = (3, 4, 5, 6)
@@ -83,6 +85,80 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(y, -30, 30))))
 
 
+def _divergence(k: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """n times the divergence of the share k / n from q: by Chernoff, chance gives k or further from n * q with at most exp of its negative."""
+    q = np.clip(q, 1e-12, 1 - 1e-12)
+    return k * np.log(np.maximum(k, 1e-300) / (n * q)) + (n - k) * np.log(np.maximum(n - k, 1e-300) / (n * (1 - q)))
+
+
+def telling_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, df: np.ndarray, least_docs: int) -> np.ndarray:
+    """Which terms stand in a pair whose documents' share of label 1 lies beyond those of the sample, of either term and of their sum in logits.
+
+    All pairs of terms with ``least_docs`` documents are tested, on bit sets; passed over are only terms that hold too few documents
+    for any pair to differ beyond chance. Documents of equal terms must be given once.
+    """
+    found = np.zeros(len(df), bool)
+    share, m = y.mean(), int((df >= least_docs).sum())
+    if m < 2 or not 0 < share < 1:  # no pair, or no label to tell
+        return found
+    needed = np.log(m * (m - 1) / 2 / FALSE_PAIRS)
+    positive = np.bincount(term, weights=y[doc], minlength=len(df)).astype(np.int64)
+    own_share = positive / np.maximum(df, 1)
+    # of label 1, and of both: what a pair of one label only must have
+    least_positive, least_both = max(least_docs, needed / -np.log(share)), max(least_docs, needed / -np.log(1 - share))
+    able = np.flatnonzero((df >= least_docs) & ((positive >= least_positive) | (df >= least_both)))
+    at = np.full(len(df), -1)
+    at[able] = np.arange(len(able))
+    use = at[term] >= 0
+    rows, cols = at[term[use]], doc[use]
+    # label 1 first: their words of 64 bits stand before the others'
+    order, n_first = np.argsort(-y, kind="stable"), int(y.sum())
+    words = -(-n_first // 64)
+    place = np.empty(len(y), np.int64)
+    place[order] = np.concatenate((np.arange(n_first), words * 64 + np.arange(len(y) - n_first)))
+    bits = np.zeros((len(able), words + -(-(len(y) - n_first) // 64)), np.uint64)
+    np.bitwise_or.at(bits, (rows, place[cols] >> 6), np.uint64(1) << (place[cols] & 63).astype(np.uint64))
+    # terms of the same documents (a word and its beginnings) are tested once
+    _, one, same = np.unique(bits.view(np.dtype((np.void, bits.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+    bits, every, able = bits[one], able, able[one]
+    across = np.ascontiguousarray(bits.T)
+    d, q = df[able], own_share[able]
+    logit = np.log((positive[able] + share) / (d - positive[able] + 1 - share))
+
+    def both(i: int, part: np.ndarray) -> np.ndarray:
+        """How many of those documents hold term i and each later one."""
+        out = np.zeros(len(able) - i - 1, np.uint16)
+        for w in part:
+            if w[i]:
+                out += np.bitwise_count(w[i + 1 :] & w[i])
+        return out
+
+    for i in range(len(able) - 1):
+        k = both(i, across[:words])
+        few = k + both(i, across[words : 2 * words])  # no more documents than hold both
+        # one label above the share of either: the fewer documents, the further; below: the more
+        high, low = np.maximum(np.maximum(q[i], q[i + 1 :]), share), np.minimum(np.minimum(q[i], q[i + 1 :]), share)
+        j = np.flatnonzero((k >= least_positive) & (k > few * high) | (d[i + 1 :] >= least_both) & (d[i] >= least_both))
+        most = np.minimum(d[i], d[j + i + 1])
+        kj, fj = k[j].astype(float), few[j].astype(float)
+        j = j[(kj > fj * high[j]) & (_divergence(kj, np.maximum(fj, 1), high[j]) >= needed) | (kj < most * low[j]) & (_divergence(kj, most, low[j]) >= needed)]
+        if not len(j):
+            continue
+        n = np.maximum(few[j] + np.bitwise_count(bits[j + i + 1, 2 * words :] & bits[i, 2 * words :]).sum(1), 1)
+        k = k[j].astype(float)
+        j += i + 1
+        sums = 1 / (1 + np.exp(-(logit[i] + logit[j] - np.log(share / (1 - share)))))
+        alone = np.stack((np.full(len(j), q[i]), q[j], np.full(len(j), share), sums))
+        high, low = alone.max(0), alone.min(0)
+        beyond = np.flatnonzero((n >= least_docs) & ((k > n * high) | (k < n * low)))
+        k, n, j = k[beyond], n[beyond], j[beyond]
+        hit = _divergence(k, n, np.where(k > n * high[beyond], high[beyond], low[beyond])) >= needed
+        if hit.any():
+            found[able[j[hit]]] = found[able[i]] = True
+    found[every] = found[able][same]
+    return found
+
+
 def fit(samples: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z, seed: int = 7) -> FactorizationMachine:
     """Logistic loss, Adam on whole passes, then soft thresholds on the linear weights and on each term's factors.
 
@@ -98,6 +174,11 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs:
     positive = np.bincount(inverse, weights=y[doc], minlength=len(terms))
     share = y.mean()
     often = (df >= least_docs) & (np.abs(positive - df * share) >= least_z * np.sqrt(df * share * (1 - share)))
+    # pairs that tell more than their terms alone; documents of equal terms count once, for copies are no further evidence
+    once = np.zeros(len(samples), bool)
+    once[list({(s.tobytes(), label): i for i, (s, label) in enumerate(zip(samples, y, strict=True))}.values())] = True
+    single = once[doc]
+    often |= telling_pairs((np.cumsum(once) - 1)[doc[single]], inverse[single], y[once], np.bincount(inverse[single], minlength=len(terms)), least_docs)
     new = np.cumsum(often) - 1
     use = often[inverse]
     cols, rows, terms = new[inverse][use], doc[use], terms[often]

@@ -63,6 +63,21 @@ def test_pairs_are_learned_that_single_terms_miss():
     assert float(m.v[m.rows(np.array([1]))[0]] @ m.v[m.rows(np.array([2]))[0]]) > 0
 
 
+def test_a_rare_pair_is_learned_whose_words_tell_little_alone():
+    rng = np.random.default_rng(1)
+    n = 8000
+    y = (rng.random(n) < 0.11).astype(int)
+    at = rng.permutation(n)
+    both, a, b = at[:20], at[20:400], at[400:780]
+    y[both] = 1
+    samples = [set((100 + rng.integers(0, 1000, 20)).tolist()) for _ in range(n)]
+    for word, rows in ((1, [*both, *a]), (2, [*both, *b])):
+        for i in rows:
+            samples[i].add(word)
+    m = fit([np.array(sorted(s)) for s in samples], y)
+    assert m.score(np.array([1, 2])) > 0.9 and m.score(np.array([1])) < 0.5 and m.score(np.array([2])) < 0.5
+
+
 def test_toxicity_edge_cases(spark):
     schema = "doc_id long, text string"
     none = spark.createDataFrame([], schema)
