@@ -2,8 +2,10 @@
 
 Each of several Hilbert curves orders all vectors by a few randomly projected, shifted coordinates. The orderings are range-partitioned
 by Spark and cut into segments of equal size; a query is compared with the segments around its own on every curve, and the curves'
-answers merge into one ranking by exact inner products. How many segments to each side is fitted on a bounded sample of queries, so
-that its recall against brute force reaches a target: clustered vectors need few, vectors without structure many.
+answers merge into one ranking by exact inner products. How many curves are used and how many rows to each side are looked at is fitted
+on a bounded sample of queries: the cheapest choice whose recall against brute force reaches a target. Clustered vectors need few rows,
+vectors without structure many. The segments are as large as an eighth of that window, whatever the table's size, so a query visits
+about 17 segments a curve.
 
 Inner products become distances by one more coordinate, sqrt(M**2 - |x|**2) with M the largest norm; a query has 0 there.
 """
@@ -24,14 +26,18 @@ CURVES = 8
 #: Projected coordinates and bits a coordinate of a curve's key; their product stays below 63.
 DIMENSIONS = 4
 BITS = 14
-SEGMENT = 1024
+#: Rows of a segment, at least and at most; between them an eighth of the rows to each side.
+LEAST_SEGMENT, MOST_SEGMENT = 32, 2048
+PER_WINDOW = 8
+#: Curves that are used at least.
+LEAST_CURVES = 2
 #: Query segments that one task compares with a data segment.
 GROUPED = 16
 #: Queries of the sample that the window is fitted on, and the recall that it has to reach there.
 SAMPLE_QUERIES = 192
 TARGET = 0.95
-#: What matrix products may be off by; whatever is as near to the k-th score is scored exactly.
-SLACK = 1e-9
+#: What matrix products may be off by, as a share of the product of the norms; whatever is as near to the k-th score is scored exactly.
+SLACK = 1e-10
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -89,11 +95,13 @@ def _stack(raw: pd.Series) -> np.ndarray:
 
 def nearest(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids and exact scores of its k nearest of the vectors, its own id left out; ties to the smaller id."""
+    longest = np.sqrt((vectors**2).sum(1).max(initial=0))
     for at in range(0, len(queries), 256):
         block = queries[at : at + 256]
+        slack = SLACK * longest * np.sqrt((block**2).sum(1))
         rough = block @ vectors.T
         rough[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
-        bar = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - SLACK if len(ids) > k else np.full(len(block), -np.finfo(float).max)
+        bar = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] - slack if len(ids) > k else np.full(len(block), -np.finfo(float).max)
         for q, row, low in zip(block, rough, bar, strict=True):
             near = np.flatnonzero(row >= max(low, -np.finfo(float).max))
             exact = (vectors[near] * q).sum(1)
@@ -141,19 +149,30 @@ def _exact_sample(vectors: DataFrame, sample: pd.DataFrame, k: int) -> pd.DataFr
     return pd.concat([pd.DataFrame({"query_id": q, "vec_id": np.frombuffer(i, np.int64)}) for q, i in zip(found["query_id"], found["ids"], strict=True)] or [pd.DataFrame({"query_id": [], "vec_id": []}, dtype="int64")])
 
 
-def _fit_window(curves: DataFrame, vectors: DataFrame, sample: pd.DataFrame, k: int, target: float) -> int:
-    """Segments to each side with which the sample reaches the target recall."""
+def cheapest_window(far: np.ndarray, target: float, rows: int) -> tuple[int, int]:
+    """(curves, rows to each side) of the least work that reaches the target; ``far``: how far each true neighbour is on each curve."""
+    best = (0.0, far.shape[1], 0)
+    for c in range(far.shape[1], min(LEAST_CURVES, far.shape[1]) - 1, -1):
+        steps = np.sort(far[:, :c].min(1))
+        window = int(steps[min(len(steps), int(np.ceil(target * len(steps)))) - 1])
+        work = c * min(2 * window + 1, rows)
+        if c == far.shape[1] or work < best[0]:
+            best = (work, c, window)
+    return best[1], best[2]
+
+
+def _fit_window(curves: DataFrame, vectors: DataFrame, sample: pd.DataFrame, k: int, target: float, many: int, rows: int) -> tuple[int, int]:
+    """The curves to use, and the rows to each side, with which the sample reaches the target recall."""
     spark = curves.sparkSession
     truth = _exact_sample(vectors, sample, k)
     if not len(truth):
-        return 0
+        return 1, 0
     asked = spark.createDataFrame(truth.astype("int64"))  # at most SAMPLE_QUERIES * k rows
     ids = F.broadcast(asked.select("vec_id").distinct())
-    theirs = curves.where("not _query").join(ids, F.col("_id") == F.col("vec_id"), "left_semi").select("_curve", F.col("_id").alias("vec_id"), F.col("_segment").alias("_theirs"))
-    own = curves.where("_query").join(F.broadcast(asked.select(F.col("query_id").alias("_id")).distinct()), "_id", "left_semi").select("_curve", F.col("_id").alias("query_id"), F.col("_segment").alias("_own"))
-    far = asked.join(theirs, "vec_id").join(own, ["_curve", "query_id"]).groupBy("query_id", "vec_id").agg(F.min(F.abs(F.col("_theirs") - F.col("_own"))).alias("far"))
-    steps = np.sort(far.toPandas()["far"].to_numpy())
-    return int(steps[min(len(steps) - 1, int(np.ceil(target * len(steps))) - 1)])
+    theirs = curves.where("not _query").join(ids, F.col("_id") == F.col("vec_id"), "left_semi").select("_curve", F.col("_id").alias("vec_id"), F.col("_rank").alias("_theirs"))
+    own = curves.where("_query").join(F.broadcast(asked.select(F.col("query_id").alias("_id")).distinct()), "_id", "left_semi").select("_curve", F.col("_id").alias("query_id"), F.col("_rank").alias("_own"))
+    far = asked.join(theirs, "vec_id").join(own, ["_curve", "query_id"]).groupBy("query_id", "vec_id").pivot("_curve", list(range(many))).agg(F.min(F.abs(F.col("_theirs") - F.col("_own"))))
+    return cheapest_window(far.toPandas()[[str(c) for c in range(many)]].to_numpy(np.int64), target, rows)
 
 
 def search_neighbours(
@@ -163,16 +182,16 @@ def search_neighbours(
     curves: int = CURVES,
     target: float = TARGET,
     sample_queries: int = SAMPLE_QUERIES,
-    segment: int = SEGMENT,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """The k nearest rows by inner product of each row for which ``is_query`` holds.
 
     Returns ``query_id, rank, vec_id, score``: rank from 1, nearest first, ties to the smaller id, the score in double precision on
-    the vectors as given. Rows with a null id or a vector that is null, zero, of another length than the longest, or holds null or
-    non-finite components take no part. A row with the query's own id is no candidate; ids repeated otherwise count once, by their
-    best score. Fewer candidates than k: all of them. Every row is on every curve; no candidate is capped.
+    the vectors as given. Rows with a null id or a vector that is null, zero, of another length than most (the longer of two lengths
+    as frequent), or holds null or non-finite components take no part. A row with the query's own id is no candidate; ids repeated
+    otherwise count once, by their best score. Fewer candidates than k: all of them. Every row is on every curve that is used; no
+    candidate is capped. An empty table gives an empty result; extra columns are ignored, whatever their names.
     """
     spark = table.sparkSession
     ship(spark)
@@ -185,11 +204,12 @@ def search_neighbours(
             yield pd.DataFrame({"_id": b["_id"], "_query": b["_query"], "_v": [a.tobytes() for a in raw], "_norm2": [float((a * a).sum()) for a in raw]})
 
     vectors = keep(plain.mapInPandas(packed, "_id long, _query boolean, _v binary, _norm2 double"), "vectors")
-    size, largest2 = vectors.agg(F.max(F.length("_v")), F.max("_norm2")).first()
-    if size is None:
+    lengths = vectors.groupBy(F.length("_v").alias("size")).agg(F.count("*").alias("rows"), F.max("_norm2").alias("largest2"), F.count_if("_query").alias("queries"))
+    usual = lengths.orderBy(F.desc("rows"), F.desc("size")).first()
+    if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors = vectors.where(F.length("_v") == size)
-    largest = float(np.sqrt(largest2))
+    vectors = vectors.where(F.length("_v") == usual["size"])
+    largest, rows_a_curve = float(np.sqrt(usual["largest2"])), usual["rows"] + usual["queries"]
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -206,14 +226,18 @@ def search_neighbours(
     parts = max(curves, int(spark.conf.get("spark.sql.shuffle.partitions")))
     points = vectors.mapInPandas(keyed, "_curve int, _key long, _id long, _query boolean, _v binary")
     ordered = keep(points.repartitionByRange(parts, "_curve", "_key", "_id").sortWithinPartitions("_curve", "_key", "_id"), "curves")
-    placed = keep(number_within(ordered, "_curve", "_rank").withColumn("_segment", F.floor(F.col("_rank") / segment)).drop("_rank", "_key"), "segments")
+    ranked_rows = keep(number_within(ordered, "_curve", "_rank").drop("_key"), "ranks")
     release(ordered)
     sample = vectors.where("_query").select("_id", "_v").orderBy(F.xxhash64("_id"), "_id").limit(sample_queries).toPandas().drop_duplicates("_id")
-    window = _fit_window(placed, vectors, sample, k, target)
+    use, reach = _fit_window(ranked_rows, vectors, sample, k, target, curves, rows_a_curve)
+    segment = max(LEAST_SEGMENT, 2 * (k + 1), min(MOST_SEGMENT, -(-reach // PER_WINDOW)))
+    window, last = max(1, -(-reach // segment)), (rows_a_curve - 1) // segment
+    placed = ranked_rows.where(F.col("_curve") < use).withColumn("_segment", F.floor(F.col("_rank") / segment)).drop("_rank")
 
     # a task holds one data segment and the queries of GROUPED segments around
-    data = placed.where("not _query").withColumn("_group", F.explode(F.sequence(F.floor((F.col("_segment") - window) / GROUPED), F.floor((F.col("_segment") + window) / GROUPED))))
-    asks = placed.where("_query").withColumn("_group", F.floor(F.col("_segment") / GROUPED)).withColumn("_segment", F.explode(F.sequence(F.col("_segment") - window, F.col("_segment") + window)))
+    low, high = F.greatest(F.col("_segment") - window, F.lit(0)), F.least(F.col("_segment") + window, F.lit(last))
+    data = placed.where("not _query").withColumn("_group", F.explode(F.sequence(F.floor(low / GROUPED), F.floor(high / GROUPED))))
+    asks = placed.where("_query").withColumn("_group", F.floor(F.col("_segment") / GROUPED)).withColumn("_segment", F.explode(F.sequence(low, high)))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spreadgraph.llm import packing
+from spreadgraph.llm import neighbours, packing
 from spreadgraph.llm.mixing import mix_sources, poisson_cdf, poisson_span
 from spreadgraph.llm.neighbours import hilbert_keys, search_neighbours
 from spreadgraph.llm.packing import WordEncoder, best_config, best_fit, pack_documents, solve
@@ -192,6 +192,22 @@ def test_solver_holds_every_piece_and_is_near_the_bound():
         assert used <= sum(t for _, t in best_fit(demand, 512)) + 1
 
 
+def test_the_program_prices_small_histograms_too(monkeypatch):
+    priced = []
+    real = packing.best_config
+    monkeypatch.setattr(packing, "best_config", lambda *a: priced.append(1) or real(*a))
+    demand = dict(Counter(np.clip(np.exp(np.random.default_rng(1).normal(5.8, 1, 200)).astype(int), 1, 2047).tolist()))
+    plan = solve(demand)
+    assert priced
+    held = Counter()
+    for config, n in plan:
+        for length, k in config:
+            held[length] += n * k
+    assert held == Counter(demand)
+    assert set(packing.fractional(demand, 2048)) & {c for c, _ in plan}
+    assert sum(n for _, n in plan) <= sum(n for _, n in best_fit(demand, 2048))
+
+
 def test_best_config_equals_brute_force():
     prices, lengths = np.array([3.0, 4.5, 7.9]), np.array([2, 3, 5])
     config = best_config(prices, lengths, 11)
@@ -223,7 +239,7 @@ def test_recall_and_scores(spark):
     rng = np.random.default_rng(2)
     rows = {i: (rng.normal(size=16) * rng.uniform(0.5, 2)).tolist() for i in range(3000)}
     table = spark.createDataFrame([(i, v, "x") for i, v in rows.items()], "vec_id long, embedding array<double>, rank string")
-    got = search_neighbours(table, F.col("vec_id") % 20 == 0, segment=128).collect()
+    got = search_neighbours(table, F.col("vec_id") % 20 == 0).collect()
     want = brute_neighbours(rows, range(0, 3000, 20), 20)
     found = {}
     for r in got:
@@ -239,6 +255,41 @@ def test_recall_and_scores(spark):
     assert hit / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("rows", [500, 2000, 6000])
+def test_recall_at_three_sizes_and_less_work_on_clusters(spark, rows, monkeypatch):
+    rng = np.random.default_rng(rows)
+    centres = rng.normal(size=(rows // 50, 32))
+    points = centres[rng.integers(0, len(centres), rows)] + 0.05 * rng.normal(size=(rows, 32))
+    points /= np.sqrt((points**2).sum(1))[:, None]
+    looked = []
+    real = neighbours.cheapest_window
+    monkeypatch.setattr(neighbours, "cheapest_window", lambda far, target, n: looked.append((real(far, target, n), n)) or real(far, target, n))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in search_neighbours(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    scores = points[::20] @ points.T
+    scores[np.arange(len(scores)), np.arange(0, rows, 20)] = -9
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert sum(len(got[20 * q] & set(w.tolist())) for q, w in enumerate(want)) / want.size >= 0.9
+    ((curves, reach), n) = looked[0]
+    assert neighbours.LEAST_CURVES <= curves <= neighbours.CURVES
+    if rows >= 2000:
+        assert curves * 2 * reach < n  # fewer comparisons than brute force
+
+
+def test_cheapest_window():
+    far = np.array([[1, 90, 90], [90, 2, 90], [1, 2, 3], [5, 5, 5]])
+    assert neighbours.cheapest_window(far, 1.0, 1000) == (2, 5)
+    assert neighbours.cheapest_window(far, 0.75, 1000) == (2, 2)
+
+
+def test_most_frequent_length_takes_part(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(10)] + [(20, [1.0, 2.0, 3.0])]
+    got = search_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 1), (0, 2), (0, 3)]
+
+
 def test_small_tables_ties_and_unusable_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     same = [(i, [1.0, 0.0]) for i in range(30)]
