@@ -25,7 +25,8 @@ def in_chunks(docs: DataFrame, id_col: str, text_col: str, total: int, size: int
     count = max(1, math.ceil(total / size))
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     chunk = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.crc32(raw)), F.lit(count)).cast("int")
-    return docs.select(chunk.alias("chunk"), F.col(id_col).cast("long").cast("string").alias("doc_id"), raw.alias("raw"), *more)
+    parts = min(max(1, count // 2), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a few chunks a task
+    return docs.select(chunk.alias("chunk"), F.col(id_col).cast("long").cast("string").alias("doc_id"), raw.alias("raw"), *more).repartition(parts, "chunk")
 
 
 def bucket_bits(keys: float, per_bucket: int, least: int = 6) -> int:

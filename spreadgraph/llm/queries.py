@@ -47,7 +47,8 @@ def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Poisson replication of every document to source shares of mass ** 0.5."""
     out = mix_sources(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "copy", "n_copies", F.round("rate", 9).alias("rate"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)  # of the text that the global shuffle carried
+    return out.select("doc_id", "source", "copy", "n_copies", F.round("rate", 9).alias("rate"), digest.alias("text_sha256"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without the byte strings of 400 that start elsewhere too."""
     out = find_repeats(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), "kept_sha256", F.expr("n_removed > 0").alias("repeats"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP5_SQL = """
 WITH d AS (
-  SELECT doc_id, source, coalesce(source, '') AS s, coalesce(strlen(text), 0) + 1 AS m,
+  SELECT doc_id, source, sha256(coalesce(text, '')) AS text_sha256, coalesce(source, '') AS s, coalesce(strlen(text), 0) + 1 AS m,
          ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
   FROM documents
 ), by_source AS (SELECT s, sum(m)::DOUBLE AS mass FROM d GROUP BY s),
@@ -90,13 +91,13 @@ total AS (SELECT sum(mass) AS all_mass, sum(pow(mass, 0.5)) AS all_w FROM by_sou
 rates AS (SELECT s, pow(mass, 0.5) / all_w * all_mass / mass AS rate FROM by_source, total),
 terms AS (
   SELECT s, rate, j, sum(exp(j * ln(rate) - rate - lgamma(j + 1))) OVER (PARTITION BY s ORDER BY j) AS cdf
-  FROM rates, range(0, 200) t(j)
+  FROM (SELECT s, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1)) AS j FROM rates)
 ), counted AS (
-  SELECT d.doc_id, d.source, any_value(t.rate) AS rate, count(*) FILTER (WHERE t.cdf <= d.u AND t.j <= ceil(t.rate + 12 * sqrt(t.rate) + 30)) AS n
-  FROM d JOIN terms t ON t.s = d.s GROUP BY d.doc_id, d.source
+  SELECT d.doc_id, d.source, d.text_sha256, any_value(t.rate) AS rate, count(*) FILTER (WHERE t.cdf <= d.u) AS n
+  FROM d JOIN terms t ON t.s = d.s GROUP BY d.doc_id, d.source, d.text_sha256
 )
-SELECT doc_id, source, c.copy::INTEGER AS copy, n::INTEGER AS n_copies, round(rate, 9) AS rate
-FROM counted, range(0, 200) c(copy) WHERE c.copy < n
+SELECT doc_id, source, copy::INTEGER AS copy, n::INTEGER AS n_copies, round(rate, 9) AS rate, text_sha256
+FROM (SELECT *, unnest(range(0, n)) AS copy FROM counted)
 """
 
 OP6_SQL = """

@@ -280,7 +280,12 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, with_k
 
     Returns ``doc_id, n_bytes, n_removed, span_starts, span_ends, kept_sha256`` (and ``kept``, binary, if asked for), one row per input
     row. Spans are the maximal removed runs, in bytes of the text's UTF-8; strings are judged on the input, so every copy goes. Null
-    texts are empty; texts shorter than ``width`` keep everything; repeated rows are copies of each other. Extra columns are ignored.
+    texts are empty; texts shorter than ``width`` keep everything; repeated rows are copies of each other; very long texts are hashed
+    in overlapping pieces. An empty table gives an empty result; extra columns are ignored, whatever their names.
+
+    A merging task holds the transforms of one bucket: at most HOT texts of one minimizer, each of less than ``2 * width - GRAM`` bytes
+    unless the text has a long period (a period's run is one text). Windows of a minimizer with more texts are compared exactly too,
+    by their hashes, which spread over all buckets: no group of one minimizer, however large, meets in one task.
     """
     ship(docs.sparkSession)
     total = text_bytes(docs, text_col)
