@@ -6,10 +6,14 @@ suffix filters thin the candidates, and each pair is verified once, on its whole
 
 Nothing is quadratic in a group of near copies: in a first round every prefix shingle only pairs its documents with one of them, the
 most central; documents that are linked by then form classes, and the second round pairs only documents of different classes. The
-result is exact: a link that the second round skips lies inside a class that other links already join.
+result is exact: a link that the second round skips lies inside a class that other links already join. There a pair meets at its first
+common shingle, so what either set has before it is not shared: a place far back in a prefix leaves few partners or none, and only sets
+of sizes that the places allow are joined. Documents of one long common passage that differ elsewhere don't form pairs at its shingles.
 
 Shuffles carry arrays, not a row per shingle: the counting pass ships sorted tokens a bucket and chunk at a time, and what comes back
 are only the shingles that two different sets share. A document of which fewer than 80 % are shared cannot link and goes no further.
+Shingles that hold more than a share of 1 / HOT of all are found in a pass of their own and broadcast with their counts: sets name them
+at once, and no bucket gathers the many documents of a common passage.
 """
 
 from __future__ import annotations
@@ -36,6 +40,12 @@ LEAST_BUCKETS = 64
 LISTED = 128
 #: Bytes of text hashed at once.
 HASHED = 3 << 20
+#: At most so many shingles are broadcast as frequent ones: each stands for at least one in so many of all.
+HOT = 40_000
+#: A chunk names the shingles that so many of its sets hold; what it doesn't name is less than a 75,000th of all.
+NAMED = 8
+#: Sizes of one class of the second round differ by less than this factor.
+SIZE_STEP = 1.06
 
 _GOLD = np.uint64(0x100000001B3)
 _LOW = np.uint64((1 << 40) - 1)
@@ -98,12 +108,10 @@ def _bucket_blobs(digests: np.ndarray, sizes: np.ndarray, owner: np.ndarray, has
     """Per bucket (the hashes' top bits): the sets with tokens there, how many each, and the tokens' low 40 bits, set by set."""
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")  # within a bucket still by set and hash
-    bounds = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-    for b in range(1 << bits):
-        own = order[bounds[b] : bounds[b + 1]]
-        if len(own):
-            sets, counts = np.unique(owner[own], return_counts=True)
-            yield b, b"".join((np.int64(len(sets)).tobytes(), digests[sets].tobytes(), sizes[sets].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), _pack5(hashes[own] & _LOW)))
+    present, at = np.unique(bucket[order], return_index=True)
+    for b, own in zip(present.tolist(), np.split(order, at[1:]), strict=True) if len(order) else ():
+        sets, counts = np.unique(owner[own], return_counts=True)
+        yield b, b"".join((np.int64(len(sets)).tobytes(), digests[sets].tobytes(), sizes[sets].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), _pack5(hashes[own] & _LOW)))
 
 
 def _shared_tokens(bucket: int, blobs: list[bytes], bits: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -137,8 +145,7 @@ def _shared_tokens(bucket: int, blobs: list[bytes], bits: int) -> Iterator[tuple
     often = df >= 2
     token, owner, df = token[often], owner[often], df[often]
     low = np.uint64(min(40, 56 - bits))
-    rank = np.minimum(127, np.round(4 * np.log2(df))).astype(np.uint64)
-    key = (rank << np.uint64(56)) | (np.uint64(bucket) << low) | (token & np.uint64((1 << int(low)) - 1))
+    key = _rank(df) | (np.uint64(bucket) << low) | (token & np.uint64((1 << int(low)) - 1))
     order = np.argsort(owner, kind="stable")
     key, owner = key[order], owner[order]
     sets, at = np.unique(owner, return_index=True)
@@ -146,20 +153,74 @@ def _shared_tokens(bucket: int, blobs: list[bytes], bits: int) -> Iterator[tuple
         yield int(digest[s]), int(size[s]), len(part), part.tobytes()
 
 
+def _rank(df: np.ndarray) -> np.ndarray:
+    """The class of a document frequency, in the top bits of a key."""
+    return np.minimum(127, np.round(4 * np.log2(df))).astype(np.uint64) << np.uint64(56)
+
+
+def _hot_keys(hashes: np.ndarray, tokens: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are frequent shingles, and the keys of those."""
+    if not len(tokens):
+        return np.zeros(len(hashes), bool), np.empty(0, np.uint64)
+    at = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+    hot = tokens[at] == hashes
+    return hot, ranks[at[hot]] | (hashes[hot] >> np.uint64(8))
+
+
+def frequent_shingles(docs: DataFrame, text_col: str, limit: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles ascending, the keys' top bits) of those that hold at least one in ``limit`` of all, so at most ``limit`` of them.
+
+    Chunks name what NAMED of their sets hold, so the counts of what they don't name stay below NAMED a chunk.
+    """
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        waiting = 0
+        for b in batches:
+            texts = list(b["_raw"])
+            for part in batches_of([len(t or b"") for t in texts], HASHED):
+                held.append(shingle_sets(texts[part])[1])
+                waiting += len(held[-1])
+                if waiting >= CHUNK:
+                    yield counts(held)
+                    held, waiting = [], 0
+        yield counts(held)
+
+    def counts(held: list[np.ndarray]) -> pd.DataFrame:
+        flat = np.concatenate([*held, np.empty(0, np.uint64)])
+        token, n = np.unique(flat, return_counts=True)
+        often = n >= NAMED
+        return pd.DataFrame({"token": np.append(token[often].view(np.int64), 0), "n": np.append(n[often], len(flat)), "is_all": np.append(np.zeros(int(often.sum()), bool), True)})
+
+    found = keep(docs.select(F.col(text_col).cast("binary").alias("_raw")).mapInPandas(named, "token long, n long, is_all boolean").groupBy("is_all", "token").agg(F.sum("n").alias("n")), "frequent")
+    everything = found.where("is_all").agg(F.sum("n")).first()[0] or 0
+    rows = found.where("not is_all").where(F.col("n") * limit >= everything).select("token", "n").toPandas()  # at most limit rows
+    release(found)
+    token, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(token)
+    return token[order], _rank(n[order])
+
+
 def _prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
 def count_shared(docs: DataFrame, name: Column, text_col: str) -> DataFrame:
-    """The counting pass. Rows that ``is_doc``: each row's name (text), digest and size. Others: a set's shared shingles in one bucket."""
+    """The counting pass. Rows that ``is_doc``: each row's name (text), digest and size. Others: a set's shared shingles in one bucket,
+    or its frequent ones (``hot``, from each chunk that holds the set)."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     bits = max(LEAST_BUCKETS.bit_length() - 1, int(np.ceil(np.log2(max(total / 7 / BUCKET, 1)))))
     buckets = 1 << bits
+    hot_tokens = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col))
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
         total = 0
 
+        def spread(digests: np.ndarray) -> np.ndarray:
+            """Rows that only pass through: buckets of their own, copies of one text dealt over all of them."""
+            return buckets + (mix(digests.view(np.uint64) + np.arange(len(digests), dtype=np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
         def flush() -> Iterator[pd.DataFrame]:
             if held:
                 offsets = np.cumsum([0] + [len(x[0]) for x in held[:-1]])
@@ -169,7 +230,14 @@ def count_shared(docs: DataFrame, name: Column, text_col: str) -> DataFrame:
                 once = np.zeros(len(digests), bool)
                 once[first] = True
                 use = once[owner]
-                rows = list(_bucket_blobs(digests, sizes, owner[use], hashes[use], bits))
+                owner, hashes = owner[use], hashes[use]
+                hot, keys = _hot_keys(hashes, *hot_tokens.value)
+                sets, at = np.unique(owner[hot], return_index=True)
+                parts = [p.tobytes() for p in np.split(keys, at[1:])]
+                for some in range(0, len(sets), 64):
+                    own = sets[some : some + 64]
+                    yield pd.DataFrame({"bucket": spread(digests[own]), "doc_id": None, "digest": digests[own], "n": sizes[own], "blob": parts[some : some + 64]})
+                rows = list(_bucket_blobs(digests, sizes, owner[~hot], hashes[~hot], bits))
                 for at in range(0, len(rows), 16):
                     yield pd.DataFrame({"bucket": [b for b, _ in rows[at : at + 16]], "doc_id": None, "digest": 0, "n": 0, "blob": [x for _, x in rows[at : at + 16]]})
                 held.clear()
@@ -179,7 +247,7 @@ def count_shared(docs: DataFrame, name: Column, text_col: str) -> DataFrame:
             for part in batches_of([len(t or b"") for t in texts], HASHED):
                 owner, hashes = shingle_sets(texts[part])
                 digests, sizes = set_digests(owner, hashes, part.stop - part.start)
-                yield pd.DataFrame({"bucket": buckets + (digests.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), "doc_id": ids[part].to_numpy(), "digest": digests, "n": sizes, "blob": None})
+                yield pd.DataFrame({"bucket": spread(digests), "doc_id": ids[part].to_numpy(), "digest": digests, "n": sizes, "blob": None})
                 held.append((digests, sizes, owner, hashes))
                 total += len(hashes)
                 if total >= CHUNK:
@@ -189,19 +257,25 @@ def count_shared(docs: DataFrame, name: Column, text_col: str) -> DataFrame:
 
     def reduce(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] >= buckets:
-            return rows.assign(is_doc=True, shared=0, keys=None)[["is_doc", "doc_id", "digest", "n", "shared", "keys"]]
+            keys = rows["blob"]
+            return rows.assign(is_doc=keys.isna(), hot=keys.notna(), shared=keys.map(len, na_action="ignore").fillna(0).astype("int64") // 8, keys=keys)[columns]
         blobs = list(rows["blob"])
         out = pd.DataFrame(list(_shared_tokens(key[0], blobs, bits)), columns=["digest", "n", "shared", "keys"])
-        return out.assign(is_doc=False, doc_id=None)[["is_doc", "doc_id", "digest", "n", "shared", "keys"]]
+        return out.assign(is_doc=False, hot=False, doc_id=None)[columns]
+
+    columns = ["is_doc", "hot", "doc_id", "digest", "n", "shared", "keys"]
 
     raw = docs.select(name.alias("doc_id"), F.col(text_col).cast("binary").alias("_raw"))
     shipped = raw.mapInPandas(chunks, "bucket int, doc_id string, digest long, n long, blob binary")
-    return keep(shipped.groupBy("bucket").applyInPandas(reduce, "is_doc boolean, doc_id string, digest long, n long, shared long, keys binary"), "shingles")
+    return keep(shipped.groupBy("bucket").applyInPandas(reduce, "is_doc boolean, hot boolean, doc_id string, digest long, n long, shared long, keys binary"), "shingles")
 
 
 def candidate_sets(counted: DataFrame) -> DataFrame:
     """``digest, n, keys``: the sets of which enough is shared to link, with their shared shingles rare-first."""
-    gathered = counted.where("not is_doc").groupBy("digest").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list("keys").alias("parts"))
+    # a set in many chunks names its frequent shingles in each; all say the same
+    own, hot = F.expr("if(hot, null, keys)"), F.expr("if(hot, keys, null)")
+    gathered = counted.where("not is_doc").groupBy("digest").agg(F.first("n").alias("n"), F.sum(F.expr("if(hot, 0, shared)")).alias("counted"), F.max(F.expr("if(hot, shared, 0)")).alias("frequent"), F.collect_list(own).alias("parts"), F.first(hot, True).alias("hot"))
+    gathered = gathered.withColumn("shared", F.expr("counted + frequent")).withColumn("parts", F.expr("if(hot is null, parts, array_append(parts, hot))"))
 
     def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -306,24 +380,38 @@ def listed_prefixes(sets: DataFrame) -> DataFrame:
     return sets.mapInPandas(cut, "digest long, pre array<bigint>")
 
 
-def cross_pairs(heads: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, b``: the sets of different classes that share a prefix shingle and pass the length and positional filters; every pair once."""
+def meeting_places(heads: DataFrame, classes: DataFrame) -> DataFrame:
+    """The prefix shingles at which sets of different classes can be met for the first time: ``key, digest, n, s, pos, class, reach``.
+
+    At a pair's first common shingle at most ``s - pos`` of either set's are common, so the partners of a place have at most
+    ``reach = (100 + PERCENT) / PERCENT * (s - pos) - n`` shingles.
+    """
     placed = heads.join(classes.select(F.col("node").alias("digest"), F.col("component").alias("class")), "digest", "left").withColumn("class", F.coalesce("class", "digest")).drop("central")
     mixed = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    left = keep(placed.join(mixed, "key", "left_semi").join(listed_prefixes(sets), "digest", "left"), "mixed")
-    x = left.select("key", *[F.col(c).alias(f"{c}_a") for c in ("digest", "n", "s", "pos", "class", "pre")])
-    y = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "s", "pos", "class", "pre")])
-    on = (F.expr("digest_a < digest_b")) & F.expr("class_a <> class_b") & F.expr(_fits("n_a", "n_b")) & F.expr(_reach("_a", "_b"))
+    reach = F.expr(f"least(floor({100 + PERCENT} * (s - pos) / {PERCENT}) - n, floor(100 * n / {PERCENT}))")
+    return placed.join(mixed, "key", "left_semi").withColumn("reach", reach).where(f"100 * reach >= {PERCENT} * n")
+
+
+def cross_pairs(heads: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: the sets of different classes that share a prefix shingle and pass the length and positional filters; every pair once.
+
+    The smaller set of a pair meets only sizes from its own up to its reach.
+    """
+    left = keep(meeting_places(heads, classes).join(listed_prefixes(sets), "digest", "left"), "mixed")
+    kind = lambda n: F.floor(F.log(n) / F.lit(float(np.log(SIZE_STEP))))
+    x = left.where("reach >= n").withColumn("kind", F.explode(F.sequence(kind(F.col("n")), kind(F.col("reach")))))
+    x = x.select("key", "kind", *[F.col(c).alias(f"{c}_a") for c in ("digest", "n", "s", "pos", "class", "pre", "reach")])
+    y = left.select("key", kind(F.col("n")).alias("kind"), *[F.col(c).alias(f"{c}_b") for c in ("digest", "n", "s", "pos", "class", "pre", "reach")])
+    on = F.expr("class_a <> class_b and n_b <= reach_a and n_a <= reach_b and (n_a < n_b or n_a = n_b and digest_a < digest_b)")
     # a pair of listed prefixes is met once, at its first common shingle; its common prefix shingles are then known
     common = "array_intersect(pre_a, pre_b)"
     once = F.expr("pre_a is null or pre_b is null") | F.expr(f"array_min({common}) = key")
-    met = x.join(y, "key").where(on).where(once)
+    met = x.join(y, ["key", "kind"]).where(on).where(once)
+    pair = [F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")]
     both = met.where("pre_a is not null and pre_b is not null").withColumn("both", F.expr(common)).withColumn("end", F.array_max("both"))
-    short = both.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), F.size("both").alias("c"), F.expr("array_position(pre_a, end) - 1").alias("pos_a"), F.expr("array_position(pre_b, end) - 1").alias("pos_b"), "n_a", "n_b", "s_a", "s_b")
-    counted = met.where("pre_a is null or pre_b is null").groupBy(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
-    long = counted.agg(F.count("*").alias("c"), *[F.max(c).alias(c) for c in ("pos_a", "pos_b", "n_a", "n_b", "s_a", "s_b")])
     # all common shingles up to the last one are counted; what follows it can add so many at most
-    return short.unionByName(long).where(_enough("c + least(s_a - pos_a - 1, s_b - pos_b - 1)", "n_a", "n_b")).select("a", "b")
+    short = both.withColumn("more", F.expr("least(s_a - array_position(pre_a, end), s_b - array_position(pre_b, end))")).where(_enough("size(both) + more", "n_a", "n_b"))
+    return short.select(*pair).unionByName(met.where("pre_a is null or pre_b is null").select(*pair).distinct())
 
 
 def near_classes(docs: DataFrame, name: Column, text_col: str = "text") -> DataFrame:
@@ -351,7 +439,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A-Z are lower-cased; words are runs without ASCII white space. Documents link when the Jaccard similarity of their shingle sets
     is 0.8 or more; equal sets always do. ``component_id`` is the smallest doc_id reachable by links. Null, empty and blank texts have
     an empty set and only themselves. Null ids name a component only if all its ids are null. Sets with equal 64-bit digests and sizes
-    count as equal. Extra columns are ignored; repeated rows are reported each.
+    count as equal. Very long texts are taken whole. An empty table gives an empty result; extra columns are ignored, whatever their
+    names; repeated rows are reported each.
     """
     # ids pass through pandas as text: with a null among them it would make long integers floats
     named = near_classes(docs, F.col(id_col).cast("long").cast("string"), text_col).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -71,6 +71,61 @@ def test_short_listed_prefixes_make_no_difference(spark, monkeypatch):
     assert {tuple(r) for r in near_duplicates(frame(spark, rows)).collect()} == near_brute(rows)
 
 
+def passages(seed, n):
+    """Documents of popular passages in a row, some with words of their own: many share long stretches and do not link."""
+    rng = random.Random(seed)
+    popular = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(8)]
+    return [(i, " ".join([*rng.sample(popular, rng.randrange(3, 6)), *(f"own{i}x{j}" for j in range(rng.choice((0, 0, 1, 2, 9))))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed, named", [(1, 8), (2, 2), (3, 10**9)])
+def test_popular_passages_equal_brute_force(spark, monkeypatch, seed, named):
+    # as frequent shingles by the broadcast, and through the buckets only
+    monkeypatch.setattr(near, "NAMED", named)
+    rows = passages(seed, 150)
+    assert {tuple(r) for r in near_duplicates(frame(spark, rows)).collect()} == near_brute(rows)
+
+
+def met_rows(spark, rows):
+    counted = near.count_shared(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id").cast("string"), "text")
+    sets = near.candidate_sets(counted)
+    heads = near.keep(near.prefixes(sets), "heads")
+    links = near.verify(near.star_pairs(heads), sets)
+    classes = near.keep(near.connected_components(links, "a", "b"), "classes")
+    return sets.count(), near.meeting_places(heads, classes).count(), near.cross_pairs(heads, sets, classes).count()
+
+
+def test_a_common_passage_does_not_pair_its_documents(spark):
+    # 46 shared words and 8 of their own: Jaccard 0.72; with a phrase of two documents in place of own words: the same
+    shared = " ".join(f"s{i}" for i in range(46))
+    own = lambda n: [(i, f"{shared} " + " ".join(f"o{i}x{j}" for j in range(8))) for i in range(n)]
+    phrase = lambda n: [(i, f"{shared} " + " ".join(f"o{i // 2}x{j}" for j in range(8)) + f" t{i}") for i in range(n)]
+    for make in (own, phrase):
+        (few, places, pairs), (many, more, still) = met_rows(spark, make(400)), met_rows(spark, make(1600))
+        assert few == 400 and many == 1600
+        assert pairs <= 400 and still <= 4 * max(pairs, 1) + 400  # not 16 times
+        assert places <= 12 * few and more <= 12 * many
+
+
+def test_frequent_shingles_are_bounded(spark):
+    docs = spark.createDataFrame(passages(4, 300), "doc_id long, text string")
+    tokens, ranks = near.frequent_shingles(docs, "text", limit=150)
+    assert 0 < len(tokens) <= 150 and len(ranks) == len(tokens)
+    everything = sum(len(shingles(t)) for _, t in passages(4, 300))
+    counts = Counter(s for _, t in passages(4, 300) for s in shingles(t))
+    assert len(tokens) >= sum(120 * n >= everything for n in counts.values()) > 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    other = [w if rng.random() > 0.02 else "other" for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:100_000])), (4, " ".join(words[:60_000])), (5, "short text of five words")]
+    assert {tuple(r) for r in near_duplicates(frame(spark, rows)).collect()} == near_brute(rows)
+    got = exact_dedup(frame(spark, [*rows, (9, " ".join(words).upper())])).where("kept").collect()
+    assert sorted(r["doc_id"] for r in got) == [2, 3, 4, 5, 9]
+
+
 def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     assert near_duplicates(frame(spark, [])).collect() == []
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (2**60 + 1, "a b c d e f"), (5, None), (5, None)]
