@@ -375,7 +375,7 @@ def listed_prefixes(sets: DataFrame) -> DataFrame:
                 k = np.frombuffer(keys, np.int64)
                 heads.append(k[: max(0, _prefix_length(n) - (n - len(k)))])
             few = [len(h) <= LISTED for h in heads]
-            yield pd.DataFrame({"digest": b["digest"][few], "pre": [h for h, f in zip(heads, few, strict=True) if f]})
+            yield pd.DataFrame({"digest": b["digest"][few], "pre": pd.Series([h for h, f in zip(heads, few, strict=True) if f], index=b.index[few], dtype=object)})
 
     return sets.mapInPandas(cut, "digest long, pre array<bigint>")
 
