@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spreadgraph.llm.chunks import bucket_bits, bucket_bounds, in_chunks, pack40, sum_by_key, text_bytes, unpack40
+from spreadgraph.llm.chunks import bucket_bits, first_bits, in_chunks, key_bytes, open_answers, split_sides, tally, text_bytes
 from spreadgraph.llm.hashing import LOWER, joined, mix, word_hashes, word_spans
 from spreadgraph.storage import ship
 
@@ -175,27 +175,6 @@ class Automaton:
         return out
 
 
-def _pack_counts(counts: np.ndarray) -> bytes:
-    """One byte a count, 255 standing for those that follow in full."""
-    large = counts >= 255
-    return np.where(large, 255, counts).astype("u1").tobytes() + counts[large].astype("<u8").tobytes()
-
-
-def _unpack_counts(raw: bytes | memoryview, n: int) -> np.ndarray:
-    out = np.frombuffer(raw, "u1", n).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw, "<u8", -1, n).astype(np.int64) if len(raw) > n else 0
-    return out
-
-
-def _ship(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return len(keys).to_bytes(8, "little") + pack40(keys) + _pack_counts(counts)
-
-
-def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    return unpack40(memoryview(blob)[8 : 8 + 5 * n]), _unpack_counts(memoryview(blob)[8 + 5 * n :], n)
-
-
 def _fold(doc_id: Column) -> Column:
     """crc32 of the id as text modulo 10 is 0. Null ids are held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(True))
@@ -205,11 +184,13 @@ def score_texts(docs: DataFrame, order: int = ORDER, mass: float = MASS, ratio:
     """Score every text with a model of those that are not held out.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``. Null texts are empty: their one token is the end.
-    Without training texts every probability is 1 for the unseen word. Rows repeated are counted and scored each; extra columns are ignored.
+    Without training texts every probability is 1 for the unseen word. Rows repeated are counted and scored each; very long texts are
+    taken whole, each in one chunk. An empty table gives an empty result; extra columns are ignored, whatever their names.
     """
     ship(docs.sparkSession)
     total = text_bytes(docs, text_col)
     bits = bucket_bits(total / 7 * order, BUCKET)
+    first, width = first_bits(bits), key_bytes()
     parts = in_chunks(docs, id_col, text_col, total, CHUNK_BYTES, _fold(F.col(id_col)).alias("held_out"))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
@@ -217,29 +198,13 @@ def score_texts(docs: DataFrame, order: int = ORDER, mass: float = MASS, ratio:
         taught = ~rows["held_out"].to_numpy(bool)
         words, longer, ids = numbered_grams(tokens)
         counts = taught_counts(tokens, ids, len(words) + len(longer), taught)
-        sides = [(k, c, bucket_bounds(k, bits)) for k, c in ((words, counts[: len(words)]), (longer, counts[len(words) :]))]
-        out = []
-        for b in range(1 << bits):
-            w, g = (_ship(k[at[b] : at[b + 1]], c[at[b] : at[b + 1]]) for k, c, at in sides)
-            out.append((b, int(rows["chunk"].iat[0]), int(taught.sum()) if b == 0 else 0, w, g))
-        return pd.DataFrame(out, columns=["bucket", "chunk", "texts", "words", "grams"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        answers, n, v = {}, 0, 0
-        for side in ("words", "grams"):
-            opened = [_open(b) for b in rows[side]]
-            _, sums, at = sum_by_key([k for k, _ in opened], [c for _, c in opened])
-            ends = np.cumsum([len(k) for k, _ in opened])
-            answers[side] = [len(part).to_bytes(8, "little") + _pack_counts(part) for part in np.split(sums[at], ends[:-1])]
-            if side == "words":
-                n, v = int(sums.sum()), int((sums > 0).sum())
-        own = pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], **answers, "n": 0, "v": 0, "texts": 0})
-        return pd.concat([own, pd.DataFrame({"chunk": [-1], "bucket": rows["bucket"].iloc[:1].to_numpy(), "words": [b""], "grams": [b""], "n": [n], "v": [v], "texts": [int(rows["texts"].sum())]})])
-
-    counted = parts.groupBy("chunk").applyInPandas(count, "bucket int, chunk int, texts long, words binary, grams binary")
-    added = counted.groupBy("bucket").applyInPandas(add, "chunk int, bucket int, words binary, grams binary, n long, v long, texts long")
-    sums = added.where("chunk = -1").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("texts").alias("texts"))
-    answers = added.where("chunk >= 0").select("chunk", "bucket", "words", "grams").join(F.broadcast(sums))  # one row
+        out = split_sides([(words, counts[: len(words)]), (longer, counts[len(words) :])], first, width)
+        return pd.DataFrame({"unit": int(rows["chunk"].iat[0]), "bucket": [b for b, _ in out], "blob": [x for _, x in out]})
+
+    texts = docs.where(~_fold(F.col(id_col))).count()
+    added = tally(parts.groupBy("chunk").applyInPandas(count, "unit long, bucket long, blob binary"), bits, 2)
+    sums = added.where("unit < 0").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    answers = added.where("unit >= 0").select(F.col("unit").cast("int").alias("chunk"), "bucket", "blob").join(F.broadcast(sums))  # one row
 
     def score(rows: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
@@ -247,18 +212,18 @@ def score_texts(docs: DataFrame, order: int = ORDER, mass: float = MASS, ratio:
         tokens = Tokens(list(rows["raw"]), order)
         words, longer, ids = numbered_grams(tokens)
         by_bucket = answer.sort_values("bucket")
-        counts = np.concatenate([_unpack_counts(memoryview(b)[8:], int.from_bytes(b[:8], "little")) for side in ("words", "grams") for b in by_bucket[side]])
-        total, distinct, texts = (int(answer[c].iat[0]) for c in ("n", "v", "texts"))
+        counts = np.concatenate(open_answers(list(by_bucket["blob"]), 2))
+        total, distinct = int(answer["n"].iat[0]), int(answer["v"].iat[0])
         model = Automaton(tokens, ids, counts, len(words), total, distinct, texts, mass, ratio)
-        first = tokens.first[:-1]
+        begins = tokens.first[:-1]
         return pd.DataFrame({
             "doc_id": rows["doc_id"],
             "held_out": rows["held_out"].to_numpy(),
             "n_tokens": tokens.lengths,
-            "n_known": np.add.reduceat((model.count > 0)[model.word].astype(np.int64), first),
+            "n_known": np.add.reduceat((model.count > 0)[model.word].astype(np.int64), begins),
             "train_tokens": total,
-            "base_score": np.add.reduceat(model.base[model.word], first),
-            "score": np.add.reduceat(model.weights(), first),
+            "base_score": np.add.reduceat(model.base[model.word], begins),
+            "score": np.add.reduceat(model.weights(), begins),
         })
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

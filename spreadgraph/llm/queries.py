@@ -39,6 +39,11 @@ def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_read(spark, sf_dir, "documents"))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op3's result what SQL can express: the counts and the base scores."""
+    return op3_backoff_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_main_text(_read(spark, sf_dir, "pages"))
@@ -78,7 +83,7 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_backoff_lm, op4_html_main_text, op5_mix_sources, op6_exact_dedup, op7_suffix_repeats, op8_best_fit_packing, op9_rendezvous_shards, op10_hilbert_neighbours)}
+    return {f.__name__: f for f in (op1_toxicity, op2_jaccard_join, op3_backoff_lm, op4_html_main_text, op5_mix_sources, op6_exact_dedup, op7_suffix_repeats, op8_best_fit_packing, op9_rendezvous_shards, op10_hilbert_neighbours, lm_base_scores)}
 
 
 OP5_SQL = """
@@ -126,5 +131,24 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN reach O
 """
 
 
+#: crc32 of the id's digits, bit by bit: each byte meets the register before the first of its eight shifts.
+LM_BASE_SQL = """
+WITH d AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s,
+         list_append(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), '') AS w
+  FROM documents
+), crc AS (
+  SELECT doc_id, w, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 8 * len(s)), lambda i: CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1])::BIGINT ELSE 0::BIGINT END)),
+    lambda c, e: xor(xor(c, e) >> 1, (xor(c, e) & 1) * 3988292384)) AS r FROM d
+), held AS (SELECT doc_id, w, xor(r, 4294967295) % 10 = 0 AS held_out FROM crc),
+tokens AS (SELECT doc_id, held_out, unnest(w) AS t FROM held),
+counts AS (SELECT t, count(*)::BIGINT AS c FROM tokens WHERE NOT held_out GROUP BY t),
+totals AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, any_value(n) AS train_tokens,
+       round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 4) AS base_score
+FROM tokens LEFT JOIN counts USING (t), totals GROUP BY doc_id, held_out
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op5_mix_sources": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"lm_base_scores": LM_BASE_SQL, "op2_jaccard_join": OP2_SQL, "op5_mix_sources": OP5_SQL, "op6_exact_dedup": OP6_SQL}

@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from spreadgraph.llm import chunks, lm
 from spreadgraph.llm.lm import ADDED, Automaton, Tokens, numbered_grams, score_texts, taught_counts
+from spreadgraph.storage import keep
 
 TEXTS = ["the cat sat on the mat", "The cat sat", None, "", "   ", "a b a b a b a", "the dog sat on the cat\nthe cat", "ü ö Ü", "zz " * 3000, "the cat sat on the mat"] * 3
 
@@ -63,6 +65,49 @@ def test_scores_equal_brute_force(spark, order):
         assert r["score"] == pytest.approx(score, rel=1e-9)
 
 
+@pytest.mark.parametrize("chunk_bytes, keys", [(200, 8), (60, 2), (3000, 1)])
+def test_levels_of_buckets_make_no_difference(spark, monkeypatch, chunk_bytes, keys):
+    monkeypatch.setattr(chunks, "LEVEL_BITS", 2)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", chunk_bytes)
+    monkeypatch.setattr(lm, "BUCKET", keys)
+    rows = [(i, f"{t} t{i % 17} u{i}") for i, t in enumerate(["the cat sat on the mat", "a b a b", "the dog"] * 20)]
+    want = brute(rows, 2)
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string"), mass=40.0, ratio=3.0).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        h, n, k, total, base, score = want[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, n, k, total)
+        assert r["base_score"] == pytest.approx(base, abs=1e-9) and r["score"] == pytest.approx(score, abs=1e-9)
+
+
+def test_rows_of_the_exchange_are_in_proportion_to_the_chunks(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "LEVEL_BITS", 3)
+    rng = np.random.default_rng(1)
+    kept = []
+    monkeypatch.setattr(chunks, "keep", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    rows = {}
+    for units, bits in ((16, 4), (64, 6), (256, 8)):  # as many buckets as units: one row each would be the square
+        keys = [np.unique(rng.integers(0, 2**64, 500, np.uint64)) for _ in range(units)]
+        sent = [(u, b, blob) for u, k in enumerate(keys) for b, blob in chunks.split_sides([(k, np.ones(len(k), np.int64)), (k[:0], np.empty(0, np.int64))], chunks.first_bits(bits), chunks.key_bytes())]
+        kept.clear()
+        answer = chunks.tally(spark.createDataFrame(sent, "unit long, bucket long, blob binary"), bits, 2).collect()
+        assert sum(r["n"] for r in answer) == sum(map(len, keys))
+        assert sum(r["unit"] >= 0 for r in answer) == len(sent)
+        rows[units] = len(sent) + sum(k.count() for k in kept)
+    for units, levels in ((16, 2), (64, 2), (256, 3)):
+        assert rows[units] <= 2 * levels * 8 * units
+
+
+def test_base_counts_are_exact(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r["doc_id"]: r for r in score_texts(docs).collect()}
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 1)
+    assert len(got) == len(want)
+    for i, (h, n, k, total, base, _) in want.items():
+        assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (h, n, k, total)
+        assert got[i]["base_score"] == pytest.approx(base, rel=1e-12)
+
+
 def test_empty_table_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert score_texts(empty).collect() == []
