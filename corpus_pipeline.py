@@ -17,27 +17,46 @@ from spreadgraph.storage import keep
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a factorization machine, fitted on the labelled ones, does not reject."""
+    """Documents that a factorization machine, fitted on the labelled ones, does not reject.
+
+    Null and empty texts score as the machine's bias; without labels of both kinds nothing is told apart. Repeated rows go or stay
+    together. An empty table stays empty; extra columns stay, whatever their names (so in all stages but the last).
+    """
     return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest id."""
+    """One document of each group of equal texts: the one with the largest id.
+
+    Null texts equal empty ones; null ids lose against any other; of rows repeated with the winner's id one stays. An empty table stays empty.
+    """
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest id."""
+    """One document of each component of near duplicates: the one with the smallest id.
+
+    Null, empty and blank texts have no shingles, link with nothing and stay; null ids lose against any other; of repeated rows one
+    stays. An empty table stays empty.
+    """
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to source shares of mass ** 0.5, in a global random order."""
+    """Documents repeated to source shares of mass ** 0.5, in a global random order.
+
+    A null source is the source of the empty name; null and empty texts have a mass of 1; null ids share one count; rows with equal ids
+    have equal counts. An empty table stays empty.
+    """
     return mix_sources(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with their place in a sequence of at most 2048 tokens."""
+    """Every document's pieces with their place in a sequence of at most 2048 tokens.
+
+    Null and empty texts are their end token; repeated rows are packed each; extra columns are ignored, whatever their names. An empty
+    table gives an empty result.
+    """
     return pack_documents(docs)
 
 
