@@ -40,10 +40,10 @@ def bucket_bits(keys: float, per_bucket: int, least: int = 6) -> int:
     return max(least, math.ceil(math.log2(max(keys / per_bucket, 1))))
 
 
-def bucket_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket (a key's top bits) begins in ascending keys; one more entry: the end."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def bucket_slices(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
+    """The buckets (a key's top bits) that hold any of the ascending keys, and where."""
+    present, at = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+    return [(int(b), slice(int(i), int(j))) for b, i, j in zip(present, at, np.append(at[1:], len(keys)), strict=True)]
 
 
 def key_bytes() -> int:

@@ -37,7 +37,7 @@ def misra_gries(values: Iterator[pd.Series], counters: int) -> dict[str, int]:
 
 
 def frequent(rows: DataFrame, column: str, counters: int = COUNTERS) -> DataFrame:
-    """At most ``counters`` values of ``column``; every value held by over 1/(counters + 1) of the rows is among them."""
+    """At most ``counters`` values of ``column``; every value held by over 1/(counters + 1) of the rows is among them, if more than once."""
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = misra_gries((b[column] for b in batches), counters)
@@ -60,7 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns ``doc_id, keep_id, group_size, kept, text_sha256``, one row per input row. Texts are equal when identical after
     lower-casing A-Z; null counts as empty. The largest id of a group stays; null ids lose against any other, and a group of null
     ids only has ``keep_id`` null and all its rows kept as the same unnamed row. Rows repeated with the winner's id are all marked kept (they are one document); ``drop_copies``
-    lets one of them through. Extra columns are ignored. An empty table gives an empty result.
+    lets one of them through. Very long texts are digested whole. Extra columns are ignored. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     rows = keep(docs.select(F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("_sha")), "exact-digests")
@@ -83,7 +83,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with their own columns: of equal texts one row, the one with the largest id.
 
     Copies of frequent texts go map-side against the broadcast winners; what remains is settled by a shuffle on the digest. Among
-    rows repeated with the same id any one stays.
+    rows repeated with the same id any one stays. Null texts are empty ones; null ids lose against any other. An empty table gives an
+    empty result; extra columns stay, whatever their names.
     """
     ship(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), text_digest(F.col(text_col)).alias("_sha"))

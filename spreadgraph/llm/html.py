@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from spreadgraph.storage import ship
 
 _RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg canvas annotation annotation-xml select option datalist audio video map".split())
+_RAW_TEXT = frozenset("script style textarea title iframe noembed noframes xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var math mfrac mi mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 #: Tags whose content is never main text.
@@ -43,20 +44,62 @@ _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _TAG_END = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HEADING = re.compile(r"h[1-6]")
+#: Names of a header, as parts of a name that may stay in an article.
+_HEADER = re.compile(r"(?:^|(?<=[_-]))(?:header|masthead)(?=$|[_-])", re.I)
+#: Tags that hold one passage and are no root of the content.
+_NO_ROOT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td ul ol".split())
 _PUNCTUATION = re.compile(r"[.,;:!?。，！？；：、]")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
 
 
+class Node:
+    """A tag path: a step below another path. Equal paths of a page are one node, so a path of any depth is compared and counted at once."""
+
+    __slots__ = ("parent", "step", "tag", "depth", "number", "below", "article", "heading", "content")
+
+    def __init__(self, parent: Node | None, step: str, number: int):
+        self.parent, self.step, self.number, self.below = parent, step, number, {}
+        self.tag = step.partition(".")[0]
+        self.depth = parent.depth + 1 if parent else 0
+        #: Whether a step of the path is an article or main, a heading, or names content.
+        self.article = parent is not None and (parent.article or self.tag in ("article", "main"))
+        self.heading = parent is not None and (parent.heading or bool(_HEADING.fullmatch(self.tag)))
+        self.content = parent is not None and (parent.content or step.startswith(("article", "main")) or bool(_CONTENT_MARK.search(step.replace(".", " "))))
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        steps, node = [], self
+        while node.parent:
+            steps.append(node.step)
+            node = node.parent
+        return tuple(reversed(steps))
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    node: Node
     text: str
     link_chars: int
     boilerplate: bool
-    #: The elements around it whose names alone mark them, by number; none if something else makes it boilerplate.
-    marked: tuple[int, ...] = ()
-    #: How many of them lie around the outermost article or main; 0 if there is none.
-    around: int = 0
+    #: The innermost element around it that its names alone mark, by number, and the innermost such element around the outermost
+    #: article or main; 0 if there is none, or if something else makes it boilerplate.
+    mark: int = 0
+    outer_mark: int = 0
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.node.path
+
+
+@dataclass(slots=True)
+class _Open:
+    """An open element: its tag and path, whether it or one around it is boilerplate whatever the names say, and the marks as in a block."""
+
+    tag: str
+    node: Node
+    hard: bool = False
+    mark: int = 0
+    outer_mark: int | None = None
 
 
 def _tags(page: str) -> Iterator[tuple[str, str, str]]:
@@ -94,8 +137,10 @@ def _tags(page: str) -> Iterator[tuple[str, str, str]]:
         if page[lt + 1] == "/":
             yield "close", tag, ""
         else:
-            yield "open", tag, page[name.end() : stop]
-            if tag in _RAW and not page[lt:stop].endswith("/>") and (raw := _RAW_END[tag].search(page, stop)):
+            attributes, empty = page[name.end() : stop], page[lt:stop].endswith("/>")
+            raw = _RAW_END[tag].search(page, stop) if tag in _RAW and (not empty or tag in _RAW_TEXT) else None
+            yield "open", tag, attributes[:-2] + ">" if raw and empty else attributes  # HTML has no empty form of raw text
+            if raw:
                 stop = raw.start()
         at = stop
 
@@ -115,35 +160,35 @@ def _attributes(text: str) -> tuple[str, bool]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order. Unclosed tags end where HTML says so or with their parent; stray end tags are ignored."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, step of the path, boilerplate, number if only a name marks it
-    names_of: list[list[str]] = []  # of those, by number from 1
+    root = Node(None, "", 0)
+    nodes = 1
+    stack = [_Open("", root)]
+    opened: dict[str, int] = defaultdict(int)  # elements by tag
+    names_of: list[list[str]] = []  # of the elements that only names mark, by number from 1
+    around: list[int] = []  # the number of the next one around each
     parts: list[str] = []
-    links = anchors = 0
+    links = 0
 
     def flush() -> None:
         nonlocal parts, links
         text = " ".join("".join(parts).split())
         if text:
-            hard = any(b and not k for _, _, b, k in stack)
-            marked = () if hard else tuple(k for _, _, _, k in stack if k)
-            content = next((i for i, e in enumerate(stack) if e[0] in ("article", "main")), 0)
-            around = 0 if hard else sum(e[3] > 0 for e in stack[:content])
-            out.append(Block(tuple(s for t, s, _, _ in stack if t not in _INLINE), text, links, hard or bool(marked), marked, around))
+            e = stack[-1]
+            out.append(Block(e.node, text, links, e.hard or e.mark > 0, 0 if e.hard else e.mark, 0 if e.hard else e.outer_mark or 0))
         parts, links = [], 0
 
     def pop_to(depth: int) -> None:
-        nonlocal anchors
-        for tag, _, _, _ in stack[depth:]:
-            anchors -= tag == "a"
+        for e in stack[depth:]:
+            opened[e.tag] -= 1
         del stack[depth:]
 
     for kind, value, attributes in _tags(page):
         if kind == "text":
-            if stack and stack[-1][0] in _RAW:
+            if stack[-1].tag in _RAW:
                 continue
             text = _html.unescape(value)
             parts.append(text)
-            if anchors:
+            if opened["a"]:
                 links += len("".join(text.split()))
         elif kind == "open":
             if value == "br":
@@ -151,18 +196,18 @@ def blocks(page: str) -> list[Block]:
                 continue
             if value not in _INLINE and value not in _RAW:
                 flush()
-                for depth in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph and what is open inside it
-                    if stack[depth][0] == "p":
+                for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph and what is open inside it
+                    if stack[depth].tag == "p":
                         pop_to(depth)
                         break
-                    if stack[depth][0] not in _INLINE:
+                    if stack[depth].tag not in _INLINE:
                         break
-                if value in _CLOSES:
+                if value in _CLOSES and any(opened[t] for t in _CLOSES[value][0]):
                     ends, scope = _CLOSES[value]
-                    for depth in range(len(stack) - 1, -1, -1):
-                        if stack[depth][0] in scope:
+                    for depth in range(len(stack) - 1, 0, -1):
+                        if stack[depth].tag in scope:
                             break
-                        if stack[depth][0] in ends:
+                        if stack[depth].tag in ends:
                             pop_to(depth)
                             if value in ("li", "td", "th", "dt", "dd"):
                                 break
@@ -170,70 +215,90 @@ def blocks(page: str) -> list[Block]:
                 continue
             marks, hidden = _attributes(attributes) if len(attributes) > 1 else ("", False)
             structural = value in ("html", "body", "main", "article")
-            hard = hidden or value in _BOILERPLATE and not (value == "header" and any(e[0] == "article" for e in stack))
+            hard = hidden or value in _BOILERPLATE and not (value == "header" and opened["article"])
             names = [m for m in marks.split() if not _STATES.fullmatch(m)] if marks and not structural and (value not in _INLINE or value == "a") else []
-            bad = hard or bool(names) and bool(_MARKS.search(" ".join(names)))
-            number = 0
-            if bad and not hard:
-                names_of.append([m for m in names if _MARKS.search(m)])
-                number = len(names_of)
-            step = value + ("." + ".".join(sorted(marks.split())) if marks and value not in _INLINE else "")
-            stack.append((value, step, bad, number))
-            anchors += value == "a"
-        else:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == value:
+            if names and opened["article"]:  # an article's own header, as the tag
+                names = [_HEADER.sub("", m) for m in names]
+            e = stack[-1]
+            mark = e.mark
+            if not hard and (named := [m for m in names if _MARKS.search(m)] if names and _MARKS.search(" ".join(names)) else []):
+                names_of.append(named)
+                around.append(mark)
+                mark = len(names_of)
+            node = e.node
+            if value not in _INLINE:
+                step = value + ("." + ".".join(sorted(marks.split())) if marks else "")
+                if step not in node.below:
+                    node.below[step] = Node(node, step, nodes)
+                    nodes += 1
+                node = node.below[step]
+            outer = e.outer_mark if e.outer_mark is not None else e.mark if value in ("article", "main") else None
+            stack.append(_Open(value, node, e.hard or hard, mark, outer))
+            opened[value] += 1
+        elif opened[value]:
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth].tag == value:
                     if value not in _INLINE and value not in _RAW:
                         flush()
                     pop_to(depth)
                     break
-                if value in _INLINE and stack[depth][0] not in _INLINE:
+                if value in _INLINE and stack[depth].tag not in _INLINE:
                     break
     flush()
     if names_of:
-        _lift(out, names_of)
+        _lift(out, names_of, around)
     return out
 
 
-def _lift(found: list[Block], names_of: list[list[str]]) -> None:
+def _lift(found: list[Block], names_of: list[list[str]], around: list[int]) -> None:
     """Take back marks that only name the page's layout, on a page without an unmarked article or main.
 
     They are those around an article or main with half the running text (text by its ratio), and names like menu-open, of which a part
     is no mark, around four fifths of it. If nothing would stay, all go but firm ones, then all but names that are marks as a whole.
     """
-    outer = {"article", "main"}
-    if any(not b.boilerplate and not outer.isdisjoint(map(_tag, b.path)) for b in found):
+    if any(not b.boilerplate and b.node.article for b in found):
         return
-    firm = {k for k, names in enumerate(names_of, 1) if any(_FIRM.search(m) for m in names)}
-    whole = {k for k, names in enumerate(names_of, 1) if any(all(_MARKS.fullmatch(x) for x in re.split(r"[_-]+", m.strip("_-"))) for m in names)}
-    soft = [b for b in found if b.marked or not b.boilerplate]
+    numbers = range(1, len(names_of) + 1)
+    firm = {k for k in numbers if any(_FIRM.search(m) for m in names_of[k - 1])}
+    whole = {k for k in numbers if any(all(_MARKS.fullmatch(x) for x in re.split(r"[_-]+", m.strip("_-"))) for m in names_of[k - 1])}
+    soft = [b for b in found if b.mark or not b.boilerplate]
     ratios = path_ratios(soft)
-    held: dict[int, float] = defaultdict(float)
-    inner: dict[int, float] = defaultdict(float)
+    held, inner, used = ([0] * (len(names_of) + 1) for _ in range(3))
     everything = 0.0
     for b in soft:
-        x = ratios[b.path] * len(b.text)
+        x = ratios[b.node] * len(b.text)
         everything += x
-        for i, k in enumerate(b.marked):
-            held[k] += x
-            inner[k] += x * (i < b.around)
-    lifted = {k for k, x in inner.items() if k not in firm and 0 < 0.5 * everything <= x}
-    lifted |= {k for k, x in held.items() if k not in firm | whole and 0 < 0.8 * everything <= x}
-    for further in (set(held) - firm, set(held) - whole):
+        held[b.mark] += x
+        inner[b.outer_mark] += x
+        used[b.mark] = 1
+    for k in reversed(numbers):  # what is in an element is in those around it
+        for sums in (held, inner):
+            sums[around[k - 1]] += sums[k]
+        used[around[k - 1]] |= used[k]
+    lifted = {k for k in numbers if k not in firm and 0 < 0.5 * everything <= inner[k]}
+    lifted |= {k for k in numbers if k not in firm | whole and 0 < 0.8 * everything <= held[k]}
+    every = {k for k in numbers if used[k]}
+
+    def apply() -> None:
+        free = [True] * (len(names_of) + 1)
+        for k in numbers:
+            free[k] = k in lifted and free[around[k - 1]]
         for b in soft:
-            b.boilerplate = not lifted.issuperset(b.marked)
+            b.boilerplate = not free[b.mark]
+
+    for further in (every - firm, every - whole):
+        apply()
         if not all(b.boilerplate for b in soft):
             return
         lifted |= further
-    for b in soft:
-        b.boilerplate = not lifted.issuperset(b.marked)
+    apply()
 
 
-def path_ratios(found: list[Block]) -> dict[tuple[str, ...], float]:
+def path_ratios(found: list[Block]) -> dict[Node, float]:
     """The fused ratio of each path: mean text per node times mean punctuation per node (plus one), less by the share of link text."""
-    total: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
+    total: dict[Node, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in found:
-        t = total[b.path]
+        t = total[b.node]
         t[0] += 1
         t[1] += len(b.text)
         t[2] += len(_PUNCTUATION.findall(b.text))
@@ -250,28 +315,39 @@ def smooth(values: list[float], kernel: tuple[float, ...] = (0.25, 0.5, 0.25)) -
 def levels(found: list[Block]) -> tuple[list[float], float]:
     """The blocks' smoothed ratios and the threshold: half their mean, weighted by text."""
     ratios = path_ratios(found)
-    level = smooth([ratios[b.path] for b in found])
+    level = smooth([ratios[b.node] for b in found])
     weight = [len(b.text) for b in found]
     return level, 0.5 * sum(x * w for x, w in zip(level, weight, strict=True)) / max(sum(weight), 1)
 
 
-def content_root(found: list[Block], share: float = 0.8) -> tuple[str, ...]:
+def _lineage(found: list[Block]) -> list[Node]:
+    """The blocks' paths and all above them, each after its parent."""
+    seen: dict[int, Node] = {}
+    for b in found:
+        node = b.node
+        while node is not None and node.number not in seen:
+            seen[node.number] = node
+            node = node.parent
+    return [seen[n] for n in sorted(seen)]
+
+
+def content_root(found: list[Block], share: float = 0.8) -> Node | None:
     """The deepest path that holds ``share`` of the text of the blocks whose smoothed ratio reaches the threshold."""
     level, threshold = levels(found)
-    held: dict[tuple[str, ...], float] = defaultdict(float)
+    held: dict[Node, float] = defaultdict(float)
     everything = 0.0
     for b, x in zip(found, level, strict=True):
         if x >= threshold:
-            marked = 2.0 if any(s.startswith(("article", "main")) or _CONTENT_MARK.search(s.replace(".", " ")) for s in b.path) else 1.0
-            everything += marked * len(b.text)
-            for depth in range(len(b.path) + 1):
-                held[b.path[:depth]] += marked * len(b.text)
-    enough = [p for p, w in held.items() if w >= share * everything and not (p and _tag(p[-1]) in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "ul", "ol"))]
-    return max(enough, key=len, default=())
-
-
-def _tag(step: str) -> str:
-    return step.partition(".")[0]
+            weight = (2.0 if b.node.content else 1.0) * len(b.text)
+            everything += weight
+            held[b.node] += weight
+    best = None
+    for node in reversed(_lineage(found)):
+        if node.parent:
+            held[node.parent] += held[node]
+        if held[node] >= share * everything and node.tag not in _NO_ROOT and (best is None or node.depth >= best.depth):
+            best = node
+    return best
 
 
 def content_blocks(found: list[Block]) -> list[Block]:
@@ -282,19 +358,29 @@ def content_blocks(found: list[Block]) -> list[Block]:
     of the content, and a heading before it with what follows; but no path that is half link text.
     """
     own = content_root(found)
-    root = [_tag(s) for s in own]
+    steps = []
+    node = own
+    while node is not None and node.parent:
+        steps.append(node)
+        node = node.parent
+    tags = [x.tag for x in reversed(steps)]
     level, threshold = levels(found)
-    outer = {"article", "main"}
-    chars: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0])
+    chars: dict[Node, list[int]] = defaultdict(lambda: [0, 0])
     for b in found:
-        c = chars[b.path]
+        c = chars[b.node]
         c[0] += len("".join(b.text.split()))
         c[1] += b.link_chars
-    prose = [2 * chars[b.path][1] < chars[b.path][0] for b in found]
-    if outer.isdisjoint(root):
-        inside = [b.path[: len(own)] == own or p and [_tag(s) for s in b.path[: len(own)]] == root for b, p in zip(found, prose, strict=True)]
+    prose = [2 * chars[b.node][1] < chars[b.node][0] for b in found]
+    if not {"article", "main"}.isdisjoint(tags):
+        inside = [b.node.article for b in found]
     else:
-        inside = [not outer.isdisjoint(map(_tag, b.path)) for b in found]
+        same: dict[Node, bool] = {}  # the path has the root's tags as far as both go
+        below: dict[Node, bool] = {}
+        for node in _lineage(found):
+            up = node.parent
+            same[node] = up is None or same[up] and (node.depth > len(tags) or node.tag == tags[node.depth - 1])
+            below[node] = node is own or up is not None and below[up]
+        inside = [below[b.node] or p and b.node.depth >= len(tags) and same[b.node] for b, p in zip(found, prose, strict=True)]
     kept = [i for i in range(len(found)) if inside[i] or prose[i] and level[i] >= threshold]
     if not kept:
         return []
@@ -302,7 +388,7 @@ def content_blocks(found: list[Block]) -> list[Block]:
     for i in range(first - 1, -1, -1):
         if not prose[i]:
             break
-        if any(_HEADING.fullmatch(_tag(s)) for s in found[i].path):
+        if found[i].node.heading:
             first = i
     return [found[i] for i in range(first, last + 1) if inside[i] or prose[i]]
 
@@ -314,18 +400,22 @@ def main_text(page: str | None) -> str:
         return ""
     inside = content_blocks(found)
     # lists of links: nodes of one path that are nearly all link text
-    linked: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
+    linked: dict[Node, list[int]] = defaultdict(lambda: [0, 0, 0])
     for b in inside:
-        s = linked[b.path]
+        s = linked[b.node]
         s[0] += 1
         s[1] += len("".join(b.text.split()))
         s[2] += b.link_chars
     menus = {p for p, (n, chars, links) in linked.items() if n >= 3 and links >= 0.8 * chars}
-    return "\n".join(b.text for b in inside if b.path not in menus)
+    return "\n".join(b.text for b in inside if b.node not in menus)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars`` of every row. Null html gives an empty text; extra columns are ignored; repeated rows stay."""
+    """``page_id, url, text, n_chars`` of every row.
+
+    Null and empty html give an empty text; repeated rows stay; very long and deeply nested pages are taken whole, in time about
+    proportional to their length. An empty table gives an empty result; extra columns are ignored, whatever their names.
+    """
     ship(pages.sparkSession)
 
     @F.pandas_udf("string")

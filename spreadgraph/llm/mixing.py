@@ -74,8 +74,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     """Each document as often as its Poisson count says, in a global random order.
 
     Returns the columns of ``docs`` plus ``copy`` (from 0), ``n_copies``, ``rate`` and ``shuffle_key`` (names already taken get
-    a leading ``mix_``). Mass is the text's UTF-8 bytes plus 1, so empty and null texts count too. Rows with equal ids get equal
-    counts. ``ordered`` range-partitions by the shuffle key: files are then in the order of training.
+    a leading ``mix_``, or several). Mass is the text's UTF-8 bytes plus 1, so empty and null texts count too. Rows with equal ids get equal
+    counts; ties of the shuffle key have no order. Very long texts count by their bytes like others. An empty table gives an empty result.
+    ``ordered`` range-partitions by the shuffle key: files are then in the order of training.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -87,7 +88,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     u = hashed_uniform(F.col("_id"), seed)
     counted = rated.withColumn("_n", (F.col("_law.low") + F.size(F.filter("_law.cdf", lambda c: c <= u))).cast("int")).where("_n > 0").drop("_law")
     copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    name = lambda c: c if c not in docs.columns else f"mix_{c}"
+    taken = {c.lower() for c in docs.columns}
+
+    def name(c: str) -> str:
+        while c.lower() in taken:
+            c = f"mix_{c}"
+        return c
+
     key = F.xxhash64(F.lit(seed), F.col("_id"), F.col("_copy"))
     out = copies.select("_row.*", F.col("_copy").alias(name("copy")), F.col("_n").alias(name("n_copies")), F.col("_rate").alias(name("rate")), key.alias(name("shuffle_key")))
     if not ordered:

@@ -452,7 +452,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns: of each component the row with the smallest id (null ids last).
 
-    Rows with empty sets all stay; of rows repeated with the same id and text one stays.
+    Rows with empty sets (null, empty and blank texts) all stay; of rows repeated with the same id and text one stays, of different
+    texts of one id the one with the smaller hash. An empty table gives an empty result; extra columns stay, whatever their names.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     row_id = F.col(id_col).cast("long")

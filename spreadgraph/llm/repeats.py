@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadgraph.llm.chunks import bucket_bits, bucket_bounds, in_chunks, text_bytes
+from spreadgraph.llm.chunks import bucket_bits, bucket_slices, in_chunks, text_bytes
 from spreadgraph.llm.hashing import batches_of, joined, mix, powers, running, window_hashes
 from spreadgraph.storage import keep, ship
 
@@ -312,11 +312,8 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, with_k
         sent = np.cumsum(lead) - 1
         out = [(chunk, -1, "runs", _pack(r.text.astype("i4"), r.first, r.last, entry.astype("i4"), key, (many > 1).astype("u1"), sent.astype("i4")))]
         key, whole, many, twice, crowd = (x[lead] for x in (key, whole, many, twice, crowd))
-        at = bucket_bounds(key, bits)
-        for b in range(1 << bits):
-            own = slice(at[b], at[b + 1])
-            if own.stop > own.start:
-                out.append((chunk, b, "entries", _pack(key[own], whole[own], many[own].astype("u1"), twice[own].astype("u1"), crowd[own].astype("u1"))))
+        for b, own in bucket_slices(key, bits):
+            out.append((chunk, b, "entries", _pack(key[own], whole[own], many[own].astype("u1"), twice[own].astype("u1"), crowd[own].astype("u1"))))
         return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "blob"])
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -352,11 +349,8 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, block: int = BLOCK, with_k
             strings = [texts[text[i]][first[i] : last[i] + width] for i in rep[e]]
             out.append((chunk, int(b), "texts", _pack(e.astype("i4"), many[e], np.array([len(t) for t in strings], "i8"), np.frombuffer(b"".join(strings), "u1"))))
         hashes, counts, _, _ = _spread_windows(texts, state, status, rep, width)
-        at = bucket_bounds(hashes, merge_bits)
-        for b in range(1 << merge_bits):
-            part = slice(at[b], at[b + 1])
-            if part.stop > part.start:
-                out.append((chunk, int(b), "windows", _pack(hashes[part], counts[part].astype("u1"))))
+        for b, part in bucket_slices(hashes, merge_bits):
+            out.append((chunk, b, "windows", _pack(hashes[part], counts[part].astype("u1"))))
         return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "blob"])
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:

@@ -32,7 +32,8 @@ def shard_records(docs: DataFrame, shards: int = 40, weights: Sequence[float] |
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``. ``size`` is the text's UTF-8 bytes (null: none) plus 16,
     ``slot`` numbers the rows of a shard from 0 without gaps, ``grown_shard`` is the shard when one more (weight 1) is added.
-    Rows with a null key share one shard; repeated rows get slots of their own. Extra columns are ignored; empty in, empty out.
+    Rows with a null key share one shard; repeated rows share a shard and get slots of their own; of equal scores the lower shard takes
+    a record. Texts of any length, null and empty ones too, have no say in it. Extra columns are ignored; empty in, empty out.
     """
     weights = list(weights or [1.0] * shards)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

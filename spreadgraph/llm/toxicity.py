@@ -32,6 +32,8 @@ LEAST_Z = 3.5
 #: Pairs of terms that chance alone may be expected to keep.
 FALSE_PAIRS = 0.05
 EPOCHS = 150
+#: The score in logits of a text without any term is at most this, if most texts have label 0.
+NO_TERM = -0.25
 #: Lengths of the word beginnings that are terms too.
 BEGINNINGS = (3, 4, 5, 6)
 #: Words that a worker remembers the bucket of; the memory is emptied beyond it.
@@ -219,6 +221,8 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs:
         w = np.sign(w) * np.maximum(np.abs(w) - shrink(0), 0)
         norm = np.sqrt((v**2).sum(1, keepdims=True))
         v = v * np.maximum(1 - shrink(2).mean(1, keepdims=True) / np.maximum(norm, 1e-12), 0)
+    if share < 0.5:  # equal weights of the labels must not leave a text without any term in doubt
+        bias = min(bias, NO_TERM)
     live = (np.abs(w) > 0) | (np.abs(v).sum(1) > 0)
     return FactorizationMachine(terms[live].astype(np.int64), w[live], v[live], bias)
 
@@ -231,7 +235,8 @@ def is_held_out(doc_id: Column, folds: int = 5) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """Fit on labelled rows that are not held out, at most ``sample_rows`` of them: those whose ids hash lowest.
 
-    Rows with null ids or labels teach nothing; an id labelled more than once counts with its largest label.
+    Rows with null ids or labels teach nothing; an id labelled more than once counts with its largest label. A whole text of the sample,
+    however long, reaches the driver as its distinct terms: at most 4 bytes for each of BUCKETS.
     """
     ship(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~is_held_out(F.col(id_col)))
@@ -250,7 +255,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row. Null and empty texts score as the machine's bias. Extra columns are ignored."""
+    """``doc_id, held_out, score, predicted`` of every row.
+
+    Null and empty texts score as the machine's bias; null ids are held out; repeated rows are scored each; very long texts are taken
+    whole. A score of exactly 0.5 is predicted 1. An empty table gives an empty result; extra columns are ignored, whatever their names.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -267,7 +276,11 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with their own columns."""
+    """The rows of ``docs`` that score below the threshold, with their own columns.
+
+    Null and empty texts score as the machine's bias; a score at the threshold goes; repeated rows go or stay together. An empty table
+    gives an empty result.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,12 +1,14 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -51,6 +53,26 @@ def test_shards(spark):
     assert (one["size"], one["text_crc32"]) == (16 + 14, zlib.crc32(("é" * 7).encode()))
 
 
+def brute_shard(key, weights):
+    """The shard of the least -ln(u) / weight, u from two chained xxHash64 of the shard and the key."""
+    best = None
+    for shard, weight in enumerate(weights):
+        h = xxhash.xxh64(struct.pack("<i", shard), seed=42).intdigest()
+        h = h if key is None else xxhash.xxh64(struct.pack("<q", key), seed=h).intdigest()
+        score = -math.log(((h >> 11) + 0.5) / (1 << 53)) / weight if weight > 0 else math.inf
+        if best is None or score < best[0]:
+            best = (score, shard)
+    return best[1]
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 40, [1.0, 2.0, 0.5, 3.0], [2.0, 0.0, 1.0]])
+def test_winners_equal_brute_force(spark, weights):
+    ids = [None, 0, -1, 2**62, *range(1, 400)]
+    docs = spark.createDataFrame([(i, "t " * 100_000 if i == 7 else None) for i in ids], "doc_id long, text string")
+    got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in shard_records(docs, len(weights), weights).collect()}
+    assert got == {i: (brute_shard(i, weights), brute_shard(i, [*weights, 1.0])) for i in ids}
+
+
 def test_weighted_shards_and_empty_table(spark):
     docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     n = Counter(r["shard"] for r in shard_records(docs, 3, [1.0, 2.0, 1.0]).collect())
@@ -99,6 +121,15 @@ def test_mixing_edge_cases(spark):
     assert {r["source"] for r in only} == {"a"} and len(only) > 120
 
 
+def test_columns_with_the_names_of_the_result(spark):
+    rows = [(i, "t" * 30, "a", 1, 2, "x", 0.5) for i in range(50)] + [(99, "long " * 200_000, "b", 1, 2, "x", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int, mix_copy int, Rate string, n_copies double")
+    out = mix_sources(docs, weights={"a": 1.0, "b": 1.0})
+    assert out.columns == [*docs.columns, "mix_mix_copy", "mix_n_copies", "mix_rate", "shuffle_key"]
+    got = out.collect()
+    assert {(r["copy"], r["mix_copy"], r["n_copies"]) for r in got} == {(1, 2, 0.5)} and sum(r["doc_id"] == 99 for r in got) <= 3
+
+
 def test_copies_are_poisson_quantiles_at_large_rates(spark):
     # one document of 1 byte of mass beside large sources: its source's rate is far above 745, where exp(-rate) is 0
     schema = "doc_id long, text string, source string"

@@ -5,8 +5,13 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import re
+import time
+from collections import defaultdict
+from itertools import combinations
+
 from spreadgraph.llm.html import blocks, extract_main_text, main_text, path_ratios, smooth
-from spreadgraph.llm.toxicity import Terms, drop_toxic, fit, score_toxicity, train
+from spreadgraph.llm.toxicity import FactorizationMachine, Terms, drop_toxic, fit, score_toxicity, train
 
 # -------------------------------------------------------------------------------------------------------------- toxicity
 
@@ -89,6 +94,28 @@ def test_toxicity_edge_cases(spark):
     assert len(got) == 4 and {r["doc_id"] for r in got} == {None, 2**60 + 1, 1} and all(r["score"] < 0.5 for r in got)
 
 
+def explicit_score(machine, buckets):
+    """The machine's formula, pair by pair."""
+    known = {int(t): (float(w), v) for t, w, v in zip(machine.terms, machine.w, machine.v, strict=True)}
+    own = [known[int(b)] for b in buckets if int(b) in known]
+    y = machine.bias + sum(w for w, _ in own) + sum(float(np.dot(p[1], q[1])) for p, q in combinations(own, 2))
+    return 1 / (1 + np.exp(-min(max(y, -30), 30)))
+
+
+def test_scores_are_the_explicit_sum_over_pairs(spark):
+    rng = np.random.default_rng(4)
+    terms = np.unique(rng.integers(0, 1 << 20, 4000))
+    words = [f"word{i}" for i in range(3000)]
+    own = np.unique(np.concatenate([Terms()(w) for w in words[:1500]]))
+    machine = FactorizationMachine(np.union1d(terms, own), *(lambda m: (rng.normal(0, 0.3, m), rng.normal(0, 0.2, (m, 4))))(len(np.union1d(terms, own))), -0.5)
+    draw = random.Random(6)
+    rows = [(i, " ".join(draw.choices(words, k=draw.randrange(0, 60)))) for i in range(200)] + [(500, None), (501, ""), (502, " ".join(words))]
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), machine).collect()}
+    for i, text in rows:
+        assert got[i] == pytest.approx(explicit_score(machine, Terms()(text)), abs=1e-9)
+    assert len({round(s, 6) for s in got.values()}) > 100
+
+
 def test_terms_are_bounded_and_repeatable():
     t = Terms(1 << 10)
     a = t("Loser losers, LOSER")
@@ -160,6 +187,96 @@ def test_figures_addresses_and_formulas_are_text():
     assert main_text(page).split("\n")[20:] == ["Cell 1", "A caption", "So x=2 holds.", "Instead", "Main Street 1"]
 
 
+def naive_text(found):
+    """The content by the stated rules, on whole paths, each compared step by step."""
+    tag = lambda step: step.split(".")[0]
+    if not found:
+        return ""
+    n, chars, marks, links, solid = (defaultdict(float) for _ in range(5))
+    for b in found:
+        n[b.path] += 1
+        chars[b.path] += len(b.text)
+        marks[b.path] += len(re.findall("[.,;:!?。，！？；：、]", b.text))
+        links[b.path] += b.link_chars
+        solid[b.path] += len("".join(b.text.split()))
+    ratio = {p: chars[p] / n[p] * (1 + marks[p] / n[p]) * max(0, 1 - links[p] / max(chars[p], 1)) ** 2 for p in n}
+    at = [ratio[b.path] for b in found]
+    level = [0.25 * at[max(i - 1, 0)] + 0.5 * at[i] + 0.25 * at[min(i + 1, len(at) - 1)] for i in range(len(at))]
+    bar = 0.5 * sum(x * len(b.text) for x, b in zip(level, found, strict=True)) / max(sum(len(b.text) for b in found), 1)
+    content = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
+    weight = lambda b: (2 if any(s.startswith(("article", "main")) or content.search(s.replace(".", " ")) for s in b.path) else 1) * len(b.text)
+    voters = [b for b, x in zip(found, level, strict=True) if x >= bar]
+    above = {b.path[:k] for b in voters for k in range(len(b.path) + 1)}
+    held = {p: sum(weight(b) for b in voters if b.path[: len(p)] == p) for p in above}
+    enough = [p for p in above if held[p] >= 0.8 * sum(map(weight, voters)) and not (p and tag(p[-1]) in "p h1 h2 h3 h4 h5 h6 li blockquote pre td ul ol".split())]
+    own = max(enough, key=len, default=())
+    prose = [2 * links[b.path] < solid[b.path] for b in found]
+    if {"article", "main"} & set(map(tag, own)):
+        inside = [bool({"article", "main"} & set(map(tag, b.path))) for b in found]
+    else:
+        inside = [b.path[: len(own)] == own or p and [tag(s) for s in b.path[: len(own)]] == [tag(s) for s in own] for b, p in zip(found, prose, strict=True)]
+    kept = [i for i in range(len(found)) if inside[i] or prose[i] and level[i] >= bar]
+    if not kept:
+        return ""
+    first = kept[0]
+    for i in range(first - 1, -1, -1):
+        if not prose[i]:
+            break
+        if any(re.fullmatch("h[1-6]", tag(s)) for s in found[i].path):
+            first = i
+    some = [found[i] for i in range(first, kept[-1] + 1) if inside[i] or prose[i]]
+    many, all_chars, all_links = (defaultdict(float) for _ in range(3))
+    for b in some:
+        many[b.path] += 1
+        all_chars[b.path] += len("".join(b.text.split()))
+        all_links[b.path] += b.link_chars
+    return "\n".join(b.text for b in some if not (many[b.path] >= 3 and all_links[b.path] >= 0.8 * all_chars[b.path]))
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.random()
+        if kind < 0.35 and depth < 7:
+            tag = rng.choice(["div", "section", "article", "table", "tr", "td", "ul", "li", "main", "span"])
+            name = rng.choice(["", "", " class=c1", " class='c2 entry'", " id=body", " class=wide"])
+            out.append(f"<{tag}{name}>{random_page(rng, depth + 1)}</{tag}>")
+        elif kind < 0.5:
+            out.append(f"<h2>Heading {rng.randrange(99)}</h2>")
+        elif kind < 0.65:
+            out.append("".join(f"<li><a href=/{i}>Link {i}</a>" for i in range(rng.randrange(1, 5))))
+        else:
+            out.append("<p>" + " ".join(rng.choices(["word", "longer,", "sentence.", "a", "text", "<a href=x>go</a>"], k=rng.randrange(1, 40))) + "</p>")
+    return "".join(out)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_text_by_path_nodes_equals_whole_paths(seed):
+    page = random_page(random.Random(seed))
+    found = blocks(page)
+    assert main_text(page) == naive_text([b for b in found if not b.boilerplate])
+
+
+@pytest.mark.parametrize("name", ["c", "sidebar"])
+def test_deep_pages_take_time_in_proportion(name):
+    began = time.process_time()
+    page = "".join(f"<div class={name}>text {i}, with words." for i in range(10_000)) + "</div>" * 10_000
+    assert main_text(page).count("\n") == 9_999
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "textarea", "iframe"])
+def test_raw_text_has_no_empty_form(tag):
+    assert main_text(f'<article><p>One, two.</p><{tag} src="a.js" />var leaked = 1;</{tag}><p>Three.</p></article>') == "One, two.\nThree."
+    assert main_text(f"<article><p>One, two.</p><{tag}/><p>Three.</p></article>") == "One, two.\nThree."
+
+
+def test_an_articles_own_header_stays():
+    page = f'<div class="site-header"><p>Site, name.</p></div><article><div class="post-header"><h1>Title</h1></div>{LONG}<div class="post-comments"><p>Rude, very.</p></div></article>'
+    got = main_text(page).split("\n")
+    assert got[0] == "Title" and len(got) == 21
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [(None, ""), ("", ""), ("plain text", "plain text"), ("<p>a", "a"), ("<script>x", ""), ("a < b and c<d>e", "a < b and c\ne"), ("<p>x</p></p></div><p>y", "x\ny"), ("<nav>only menu</nav>", ""), ('<p title="a>b">q</p>', "q"), ('<p title="open>q</p>', "q"), ("<!-- never closed <p>x", "")],
@@ -180,6 +297,7 @@ def test_every_row_and_very_long_pages(spark):
 def test_ratios_and_smoothing():
     found = blocks("<div><p>One, two.</p><p>Three.</p></div><ul><li><a href=x>go</a></li></ul>")
     r = path_ratios(found)
+    r = {node.path: x for node, x in r.items()}
     assert r[("div", "p")] > r[("ul", "li")] == 0
     assert smooth([0, 4, 0]) == [1.0, 2.0, 1.0] and smooth([]) == []
     assert Counter(b.path for b in found) == Counter({("div", "p"): 2, ("ul", "li"): 1})
