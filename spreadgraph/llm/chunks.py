@@ -43,7 +43,7 @@ def bucket_bits(keys: float, per_bucket: int, least: int = 6) -> int:
 def bucket_slices(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
     """The buckets (a key's top bits) that hold any of the ascending keys, and where."""
     present, at = np.unique(keys >> np.uint64(64 - bits), return_index=True)
-    return [(int(b), slice(int(i), int(j))) for b, i, j in zip(present, at, np.append(at[1:], len(keys)), strict=True)]
+    return [(int(b), slice(int(i), int(j))) for b, i, j in zip(present, at, np.append(at, len(keys))[1:], strict=True)]
 
 
 def key_bytes() -> int:
