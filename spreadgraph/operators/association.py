@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -135,6 +137,31 @@ def causal_effects(wide: DataFrame, series: Sequence[str], parents: Mapping[str,
     return spread.select("i", "j", "tau", "ce_max", "ce_mean", "ce_std")
 
 
+def partial_correlations(long: DataFrame, max_lag: int, step: str) -> DataFrame:
+    """``i, j, tau, value, n``: the correlation of series i with series j ``tau`` steps later, given j one step before.
+
+    A linear conditional independence test's statistic. Bins without all three values are left out; null where the condition is the
+    series itself (i = j, tau = 1) or leaves nothing to correlate. ``step`` is the interval between bins, as in SQL.
+    """
+    later = lambda name, value, lag: long.select(F.col("series").alias(name), (F.col("bin") + F.expr(f"{lag} * {step}")).alias("bin"), F.col("value").alias(value))
+    x = reduce(DataFrame.unionByName, [later("i", "x", lag).withColumn("tau", F.lit(lag)) for lag in range(1, max_lag + 1)])
+    y = long.select(F.col("series").alias("j"), "bin", F.col("value").alias("y")).join(later("j", "z", 1), ["j", "bin"])
+    r = x.join(y, "bin").groupBy("i", "j", "tau").agg(F.corr("x", "y").alias("xy"), F.corr("x", "z").alias("xz"), F.corr("y", "z").alias("yz"), F.count("*").alias("n"))
+    given = F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2)))
+    return r.select("i", "j", "tau", F.when((F.col("i") != F.col("j")) | (F.col("tau") != 1), given).alias("value"), "n")
+
+
+def independence_tests(partial: DataFrame) -> DataFrame:
+    """Partial correlations with their two-sided p-value ``p`` by Fisher's z (one condition): small where i tells more about j. Null in, null out."""
+
+    @F.pandas_udf("double")
+    def tail(z: pd.Series) -> pd.Series:
+        return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else None).astype(float)
+
+    bounded = F.greatest(F.least(F.col("value"), F.lit(1 - 1e-15)), F.lit(-1 + 1e-15))
+    return partial.withColumn("p", F.when(F.col("value").isNotNull() & (F.col("n") > 4), tail(F.atanh(bounded) * F.sqrt(F.greatest(F.col("n") - 4, F.lit(0))))))
+
+
 def causal_graph(effects: DataFrame, threshold: float = 0.05) -> DataFrame:
     """Edges between different series over the threshold with ``width`` scaled by the range; ``self_effect`` of the driver as its node's size."""
     own = effects.where("i = j").select("i", F.col("ce_max").alias("self_effect"))

@@ -187,10 +187,27 @@ def adaptive_ci(graphs: DataFrame, radius: int = 2, direction: str = "out", upda
     return graphs.select("graph_id", "src", "dst").groupBy("graph_id").applyInPandas(rank, "graph_id string, user_id long, place int, ci long")
 
 
-def enriched_vertices(graph: SpreadGraph, radius: int = 2, alpha: float = 0.01, rounds: int = 4) -> DataFrame:
-    """``user_id, k_out, k_in, ci_out, ci_in, katz, katz_rev``: what a saved graph's vertices carry."""
+def static_vertices(graph: SpreadGraph, radius: int = 2, alpha: float = 0.01, rounds: int = 4) -> DataFrame:
+    """``user_id, k_out, k_in, ci_out, ci_in, katz, katz_rev`` with the static scores: distributed throughout, for graphs of any size."""
     out = graph.degrees()
     for way in ("out", "in"):
         out = out.join(static_ci(graph, radius, way).withColumnRenamed("ci", f"ci_{way}"), "user_id")
     out = out.join(katz(graph, alpha, 1.0, rounds), "user_id")
     return out.join(katz(graph.reverse(), alpha, 1.0, rounds).withColumnRenamed("katz", "katz_rev"), "user_id")
+
+
+def enriched_vertices(graph: SpreadGraph, radius: int = 2, alpha: float = 0.01, rounds: int = 100, epsilon: float | None = 1e-6) -> DataFrame:
+    """What a saved graph's vertices carry: ``user_id, k_out, k_in, ci_out, place_out, ci_in, place_in, katz, katz_rev``.
+
+    The scores are those at a vertex's removal in the adaptive ranking of each direction, and its place there (0 and null for what was
+    never removed); both Katz centralities run until they change by ``epsilon`` in all. The ranking is one task a direction.
+    """
+    out = graph.degrees()
+    linked = graph.edges.select("src", F.col("dst").cast("long").alias("dst"))
+    alone = graph.vertices.join(graph.edges.select(F.explode(F.array("src", "dst")).alias("user_id")).distinct(), "user_id", "left_anti").select(F.col("user_id").alias("src"), F.lit(None).cast("long").alias("dst"))
+    whole = linked.unionByName(alone).withColumn("graph_id", F.lit("one"))
+    for way in ("out", "in"):
+        ranked = adaptive_ci(whole, radius, way).select("user_id", F.col("ci").alias(f"ci_{way}"), F.col("place").alias(f"place_{way}"))
+        out = out.join(ranked, "user_id", "left").fillna(0, [f"ci_{way}"])
+    out = out.join(katz(graph, alpha, 1.0, rounds, epsilon=epsilon), "user_id")
+    return out.join(katz(graph.reverse(), alpha, 1.0, rounds, epsilon=epsilon).withColumnRenamed("katz", "katz_rev"), "user_id")

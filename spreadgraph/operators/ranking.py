@@ -41,6 +41,14 @@ def ranking_table(measures: DataFrame, ranker: str, k: int, others: Sequence[str
     return top(out, ranker, k)
 
 
+def top_rank_table(measures: DataFrame, ranker: str, k: int, others: Sequence[str], clients: DataFrame, accounts: DataFrame) -> DataFrame:
+    """``ranking_table`` with the accounts' names and marks and ``client_in, client_out``; ``clients`` has ``user_id, direction, client``."""
+    best = with_accounts(ranking_table(measures, ranker, k, others), accounts)
+    for way in ("in", "out"):
+        best = best.join(clients.where(F.col("direction") == way).select("user_id", F.col("client").alias(f"client_{way}")), "user_id", "left")
+    return best
+
+
 def influencer_pivot(ranked: DataFrame, media: Sequence[str], depth: int = 25) -> DataFrame:
     """``rank`` and one column of names a media type."""
     return ranked.where(F.col("rank") < depth).groupBy("rank").pivot("media_type", list(media)).agg(F.first("screenname"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +80,24 @@ def long_form(wide: DataFrame) -> DataFrame:
     return wide.select("bin", *[F.col(c).cast("double").alias(c) for c in values]).unpivot("bin", values, "series", "value")
 
 
+def join_periods(*binned: DataFrame) -> DataFrame:
+    """Series of several periods as one. Each keeps its own calendar, so what lies between two periods stays a gap."""
+    return reduce(DataFrame.unionByName, binned)
+
+
+def with_total(wide: DataFrame, camps: Sequence[str], name: str = "tot") -> DataFrame:
+    """The sum of the camps' series beside them."""
+    return wide.withColumn(name, sum((F.col(c) for c in camps), F.lit(0)))
+
+
+def wide_frame(lead: DataFrame, *others: DataFrame) -> DataFrame:
+    """Series joined on the leading frame's bins; bins that another frame lacks hold 0 there."""
+    out = lead
+    for other in others:
+        out = out.join(other, "bin", "left").fillna(0, [c for c in other.columns if c != "bin"])
+    return out
+
+
 def wide_form(long: DataFrame, series: list[str]) -> DataFrame:
     """One column a series."""
     return long.groupBy("bin").pivot("series", series).agg(F.sum("value"))

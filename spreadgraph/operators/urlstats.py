@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,14 @@ def shares(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def count_tables(counts: DataFrame, tables: Mapping[str, Sequence[str]], official: Sequence[str] = ()) -> DataFrame:
+    """``shares`` of several named lists of sets, under ``table``; those in ``official`` also by official clients, as ``<table>_official``."""
+    own = counts.select("key", F.col("n_t_official").alias("n_t"), F.col("n_u_official").alias("n_u"))
+    parts = [shares(counts, keys).withColumn("table", F.lit(name)) for name, keys in tables.items()]
+    parts += [shares(own, tables[name]).withColumn("table", F.lit(f"{name}_official")) for name in official]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def client_proportions(counts: DataFrame) -> DataFrame:
     """Shares of posts and of users not from official clients, and posts of such a user; null where there is nothing to divide by."""
     t, u = F.col("n_t") - F.col("n_t_official"), F.col("n_u") - F.col("n_u_official")

@@ -227,6 +227,13 @@ def ranking_table(spark, d):
     return ranking.ranking_table(k, "k_out", 200, ["k_in"])
 
 
+@query
+def top_rank_table(spark, d):
+    measures = influence.static_vertices(_simple(spark, d)).withColumn("katz_rev", F.round("katz_rev", 9)).drop("katz")
+    out = ranking.top_rank_table(measures, "k_out", 200, ["ci_out", "ci_in", "katz_rev", "k_in"], main_client(spark, d), t.accounts(spark, d))
+    return out.select("rank", "user_id", "screenname", "is_verified", "k_out", "k_in", "rank_ci_out", "rank_ci_in", "rank_katz_rev", "rank_k_in", "client_in", "client_out")
+
+
 @query
 def influencer_pivot(spark, d):
     return ranking.influencer_pivot(_rankings(spark, d, 25), MEDIA)
@@ -274,6 +281,22 @@ def category_shares(spark, d):
     return out.select("key", "n_t", F.round("r_t", 9).alias("r_t"), "n_u", F.round("r_u", 9).alias("r_u"), F.round("per_user", 9).alias("per_user"))
 
 
+@query
+def count_tables(spark, d):
+    url = t.urls(spark, d)
+    lists = {"base": MEDIA, "paired": ("com_net", "org"), "low": ("com_low", "net", "org"), "split": ("com_mobile", "com_not_mobile", "net", "org")}
+    out = urlstats.count_tables(urlstats.category_counts(url, _bridge(url)), lists, ("base", "split"))
+    return out.select("table", "key", "n_t", F.round("r_t", 9).alias("r_t"), "n_u", F.round("r_u", 9).alias("r_u"), F.round("per_user", 9).alias("per_user"))
+
+
+@query
+def study_host_sets(spark, d):
+    """The study's 17 sets, over hosts dealt to its categories by the length of their names."""
+    url = t.urls(spark, d).withColumn("category", F.element_at(F.array(*map(F.lit, hosts.BASE)), ((F.length("final_hostname") + 5) % len(hosts.BASE) + 1).cast("int")))
+    every = url.unionByName(url.where("category = 'fake'").withColumn("category", F.lit("fake_all")))
+    return hosts.bridge(hosts.host_stat(every), hosts.study_sets("m.ththth.example.net", ("thther.example.org", "ththed.example.org")))
+
+
 @query
 def client_proportions(spark, d):
     url = t.urls(spark, d)
@@ -339,6 +362,24 @@ def wide_series(spark, d):
     return _hourly(spark, d)
 
 
+@query
+def series_two_periods(spark, d):
+    tweets = t.tweets(spark, d)
+    return series.join_periods(*[series.binned_counts(edges.in_period(tweets, "datetime_est", a, b), 60, "tweet_id") for a, b in ((START, "2024-01-10"), (MIDDLE, STOP))])
+
+
+@query
+def wide_frame(spark, d):
+    """Total activity, the camps, posts without retweets of each media category, and all posts of its influencers."""
+    camps = series.with_total(_hourly(spark, d).select("bin", "pro_even", "pro_odd"), ("pro_even", "pro_odd"))
+    url = t.urls(spark, d).where("retweeted_status = 0").withColumn("bin", series.floor_time("datetime_est", 60))
+    media = url.groupBy("bin").agg(*[F.count_distinct(F.when(F.col("category") == m, F.col("tweet_id"))).alias(m) for m in MEDIA])
+    best = _rankings(spark, d, 100).select("user_id", "media_type")
+    posts = t.tweets(spark, d).withColumn("bin", series.floor_time("datetime_est", 60)).join(best, "user_id")
+    infl = posts.groupBy("bin").agg(*[F.count_distinct(F.when(F.col("media_type") == m, F.col("tweet_id"))).alias(f"infl_{m}") for m in MEDIA])
+    return series.wide_frame(camps, media, infl)
+
+
 # ------------------------------------------------------------------------------------------------- searches and centralities
 
 
@@ -376,11 +417,24 @@ def ci_static_undir(spark, d):
 
 
 @query
-def enriched_vertices(spark, d):
-    out = influence.enriched_vertices(_simple(spark, d))
+def static_vertices(spark, d):
+    out = influence.static_vertices(_simple(spark, d))
     return out.withColumn("katz", F.round("katz", 9)).withColumn("katz_rev", F.round("katz_rev", 9))
 
 
+@query
+def enriched_vertices(spark, d):
+    return influence.enriched_vertices(_simple(spark, d))
+
+
+@query
+def enriched_katz(spark, d):
+    """Of the enriched vertices what SQL can express: degrees and the converged centralities."""
+    g = _simple(spark, d)
+    both = [centrality.katz(x, 0.01, 1.0, 100, epsilon=1e-9).select("user_id", F.round("katz", 6).alias(n)) for x, n in ((g, "katz"), (g.reverse(), "katz_rev"))]
+    return g.degrees().join(both[0], "user_id").join(both[1], "user_id")
+
+
 @query
 def ci_adaptive(spark, d):
     return influence.adaptive_ci(_retweet_graph(spark, d).simple().edges.withColumn("graph_id", F.lit("retweet_simple")), 2, "out")
@@ -444,6 +498,17 @@ def fdr_two_stage(spark, d):
     return assoc.two_stage_bh(_tests(spark, d)).select("i", "j", "tau", F.round("q", 6).alias("q"))
 
 
+@query
+def partial_correlations(spark, d):
+    out = assoc.partial_correlations(series.long_form(_hourly(spark, d)), 3, "interval 1 hour")
+    return out.select("i", "j", "tau", F.round("value", 6).alias("value"), "n")
+
+
+@query
+def independence_tests(spark, d):
+    return assoc.independence_tests(assoc.partial_correlations(series.long_form(_hourly(spark, d)), 3, "interval 1 hour"))
+
+
 @query
 def significant_parents(spark, d):
     return assoc.significant_parents(assoc.benjamini_hochberg(_tests(spark, d)), 0.2).select("j", "i", "tau", "place")

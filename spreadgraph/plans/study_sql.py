@@ -83,8 +83,8 @@ def _power(e: str, rounds: int, step: str, first: str, last: str) -> str:
     return _with("vx se", last.format(x=f"x{rounds}"), head + ", ".join(parts))
 
 
-def _katz(e: str) -> str:
-    return _power(e, 4, f"SELECT v.user_id, 1.0 + 0.01 * coalesce(sum(p.x), 0) AS x FROM vx v LEFT JOIN {e} e ON e.dst = v.user_id LEFT JOIN {{p}} p ON p.user_id = e.src GROUP BY 1", "SELECT user_id, 0.0::DOUBLE AS x FROM vx", "SELECT user_id, round(x, 9) AS katz FROM {x}")
+def _katz(e: str, rounds: int = 4, places: int = 9) -> str:
+    return _power(e, rounds, f"SELECT v.user_id, 1.0 + 0.01 * coalesce(sum(p.x), 0) AS x FROM vx v LEFT JOIN {e} e ON e.dst = v.user_id LEFT JOIN {{p}} p ON p.user_id = e.src GROUP BY 1", "SELECT user_id, 0.0::DOUBLE AS x FROM vx", f"SELECT user_id, round(x, {places}) AS katz FROM {{x}}")
 
 
 _PAGERANK = """SELECT v.user_id, 0.15 / any_value(n.n) + 0.85 * (coalesce(sum(p.x / k.k), 0) + any_value(l.lost) / any_value(n.n)) AS x FROM vx v CROSS JOIN (SELECT count(*) AS n FROM vx) n
@@ -109,6 +109,25 @@ _STATS = "SELECT count(*)::BIGINT AS n_nodes, sum(k_out)::BIGINT AS n_edges, rou
 _CLIENT = "SELECT v.user_id, '{w}' AS direction, coalesce(c.source_content, 'NA') AS client FROM va v LEFT JOIN (SELECT * FROM (SELECT {e} AS user_id, source_content, row_number() OVER (PARTITION BY {e} ORDER BY count(*) DESC, source_content) AS r FROM al GROUP BY 1, 2) WHERE r = 1) c USING (user_id)"
 
 
+def _set(key: str, where: str) -> str:
+    return f"SELECT '{key}' AS key, hostname FROM st WHERE {where}"
+
+
+_OVER = "perccum > 0.01"
+_STUDY_SETS = " UNION ".join([
+    *[_set(c, f"category = '{c}' AND {_OVER}") for c in ("fake", "far_right", "right", "lean_right", "center", "lean_left", "left", "far_left")],
+    _set("fake_0p05perccum", "category = 'fake_all' AND perccum > 0.005"),
+    _set("outlet_right", "category = 'far_right' AND hostname = 'm.ththth.example.net'"),
+    _set("not_outlet_right", f"category = 'far_right' AND {_OVER} AND hostname IS DISTINCT FROM 'm.ththth.example.net'"),
+    _set("outlet_left", "category = 'far_left' AND hostname IN ('thther.example.org', 'ththed.example.org')"),
+    _set("not_outlet_left", f"category = 'far_left' AND {_OVER} AND hostname IS DISTINCT FROM 'thther.example.org' AND hostname IS DISTINCT FROM 'ththed.example.org'"),
+    _set("fake_far_right", f"category IN ('fake', 'far_right') AND {_OVER}"),
+    _set("fake_far_right_far_left", f"category IN ('fake', 'far_right', 'far_left') AND {_OVER}"),
+    _set("right_lean_right", f"category IN ('right', 'lean_right') AND {_OVER}"),
+    _set("left_lean_left", f"category IN ('left', 'lean_left') AND {_OVER}"),
+])
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "edges_retweet": _with("rt tw", "SELECT src, dst, tweet_id FROM rt WHERE tweet_id IN (SELECT tweet_id FROM tw WHERE datetime_est >= TIMESTAMP '2024-01-01' AND datetime_est < TIMESTAMP '2024-01-15')"),
@@ -124,7 +143,7 @@ def oracle_sql() -> dict[str, str]:
         "client_map_merged": _with("tw", "SELECT source_id::INTEGER AS source_id, source_content FROM a UNION ALL SELECT ((SELECT max(source_id) FROM a) + row_number() OVER (ORDER BY source_content))::INTEGER, source_content FROM (SELECT DISTINCT source_content FROM tw WHERE source_content NOT IN (SELECT source_content FROM a))",
             "a AS (SELECT source_content, row_number() OVER (ORDER BY source_content) - 1 AS source_id FROM (SELECT DISTINCT source_content FROM tw WHERE source_content <> 'view' AND datetime_est >= TIMESTAMP '2024-01-01' AND datetime_est < TIMESTAMP '2024-01-15'))"),
         "edges_global_client": _with("it tw", "SELECT src, dst, tweet_id, (CASE WHEN source_content = 'view' THEN (SELECT count(DISTINCT source_content) - 1 FROM tw) ELSE i END)::INTEGER AS source_id FROM (SELECT DISTINCT src, dst, tweet_id FROM it) JOIN tw USING (tweet_id) LEFT JOIN (SELECT source_content, row_number() OVER (ORDER BY source_content) - 1 AS i FROM (SELECT DISTINCT source_content FROM tw WHERE source_content <> 'view')) USING (source_content)"),
-        "enriched_vertices": f"SELECT user_id, k_out, k_in, o.ci AS ci_out, i.ci AS ci_in, k.katz AS katz, r.katz AS katz_rev FROM ({_with('vx ko ki', _SIMPLE)}) JOIN ({_static('ko', 'se')}) o USING (user_id) JOIN ({_static('ki', 're')}) i USING (user_id) JOIN ({_katz('se')}) k USING (user_id) JOIN ({_katz('re')}) r USING (user_id)",
+        "static_vertices": f"SELECT user_id, k_out, k_in, o.ci AS ci_out, i.ci AS ci_in, k.katz AS katz, r.katz AS katz_rev FROM ({_with('vx ko ki', _SIMPLE)}) JOIN ({_static('ko', 'se')}) o USING (user_id) JOIN ({_static('ki', 're')}) i USING (user_id) JOIN ({_katz('se')}) k USING (user_id) JOIN ({_katz('re')}) r USING (user_id)",
         "category_hourly": _with("url br", "SELECT k.key, c.bin, coalesce(n_all, 0)::BIGINT AS n_all, coalesce(n_no, 0)::BIGINT AS n_no_retweet, coalesce(n_off, 0)::BIGINT AS n_official FROM (SELECT DISTINCT key FROM g) k CROSS JOIN (SELECT unnest(generate_series(min(bin), max(bin), INTERVAL 1 HOUR)) AS bin FROM g) c LEFT JOIN g ON g.key = k.key AND g.bin = c.bin",
             "g AS (SELECT key, time_bucket(INTERVAL 1 HOUR, datetime_est) AS bin, count(DISTINCT tweet_id) AS n_all, count(DISTINCT CASE WHEN retweeted_status = 0 THEN tweet_id END) AS n_no, count(DISTINCT CASE WHEN is_official THEN tweet_id END) AS n_off FROM url JOIN br ON host = hostname GROUP BY 1, 2)"),
         "standardised_series": _with("lg", "SELECT bin, series, round((value - avg(value) OVER (PARTITION BY series)) / nullif(stddev_pop(value) OVER (PARTITION BY series), 0), 6) AS value FROM lg"),
@@ -165,6 +184,23 @@ def oracle_sql() -> dict[str, str]:
         "ci_static_undir": _static("ku", "ue"),
         "largest_wcc": _with("rt vx", "SELECT min(c) AS component, size::BIGINT AS size, round(size::DOUBLE / (SELECT count(*) FROM vx), 9) AS share FROM (SELECT c, count(*) AS size FROM comp GROUP BY c) GROUP BY size ORDER BY size DESC LIMIT 1",
             "sym AS MATERIALIZED (SELECT DISTINCT src AS a, dst AS b FROM rt UNION SELECT dst, src FROM rt), comp AS (WITH RECURSIVE r(a, b) AS (SELECT user_id, user_id FROM vx UNION SELECT r.a, sym.b FROM r JOIN sym ON sym.a = r.b) SELECT a, min(b) AS c FROM r GROUP BY a)"),
+        "enriched_katz": f"SELECT user_id, k_out, k_in, k.katz AS katz, r.katz AS katz_rev FROM ({_with('vx ko ki', _SIMPLE)}) JOIN ({_katz('se', 16, 6)}) k USING (user_id) JOIN ({_katz('re', 16, 6)}) r USING (user_id)",
+        "top_rank_table": "SELECT rank::INTEGER AS rank, user_id, CASE WHEN user_id % 11 = 0 THEN '@???????' ELSE 'u' || user_id END AS screenname, user_id % 5 = 0 AS is_verified, k_out, k_in, rank_ci_out::INTEGER AS rank_ci_out, rank_ci_in::INTEGER AS rank_ci_in, rank_katz_rev::INTEGER AS rank_katz_rev, rank_k_in::INTEGER AS rank_k_in, ci.client AS client_in, co.client AS client_out FROM (SELECT *, "
+        + ", ".join(f"row_number() OVER (ORDER BY {c} DESC, user_id) - 1 AS {n}" for c, n in (("k_out", "rank"), ("ci_out", "rank_ci_out"), ("ci_in", "rank_ci_in"), ("katz_rev", "rank_katz_rev"), ("k_in", "rank_k_in")))
+        + f" FROM (SELECT user_id, k_out, k_in, o.ci AS ci_out, i.ci AS ci_in, r.katz AS katz_rev FROM ({_with('vx ko ki', _SIMPLE)}) JOIN ({_static('ko', 'se')}) o USING (user_id) JOIN ({_static('ki', 're')}) i USING (user_id) JOIN ({_katz('re')}) r USING (user_id)))"
+        + "".join(f" LEFT JOIN ({_with('al', _CLIENT.format(w=w, e=e), 'va AS (SELECT src AS user_id FROM al UNION SELECT dst FROM al)')}) {a} USING (user_id)" for w, e, a in (("in", "dst", "ci"), ("out", "src", "co"))) + " WHERE rank < 200",
+        "count_tables": _with("cc", "SELECT t.name AS table, key, n_t, round(n_t::DOUBLE / sum(n_t) OVER (PARTITION BY t.name)::DOUBLE, 9) AS r_t, n_u, round(n_u::DOUBLE / sum(n_u) OVER (PARTITION BY t.name)::DOUBLE, 9) AS r_u, round(n_t::DOUBLE / nullif(n_u, 0), 9) AS per_user FROM t JOIN both_c USING (key, off)",
+            "both_c AS (SELECT key, n_t, n_u, false AS off FROM cc UNION ALL SELECT key, n_t_official, n_u_official, true FROM cc), t AS (SELECT * FROM (VALUES ('base', 'com', false), ('base', 'net', false), ('base', 'org', false), ('paired', 'com_net', false), ('paired', 'org', false), ('low', 'com_low', false), ('low', 'net', false), ('low', 'org', false), ('split', 'com_mobile', false), ('split', 'com_not_mobile', false), ('split', 'net', false), ('split', 'org', false), ('base_official', 'com', true), ('base_official', 'net', true), ('base_official', 'org', true), ('split_official', 'com_mobile', true), ('split_official', 'com_not_mobile', true), ('split_official', 'net', true), ('split_official', 'org', true)) v(name, key, off))"),
+        "study_host_sets": _with("url", _STUDY_SETS, "dealt AS (SELECT host, ['fake', 'far_right', 'right', 'lean_right', 'center', 'lean_left', 'left', 'far_left'][(length(host) + 5) % 8 + 1] AS category FROM url), every AS (SELECT * FROM dealt UNION ALL SELECT host, 'fake_all' FROM dealt WHERE category = 'fake'), "
+            "st AS (SELECT *, sum(n) OVER (PARTITION BY category ORDER BY n, hostname ROWS UNBOUNDED PRECEDING)::DOUBLE / sum(n) OVER (PARTITION BY category)::DOUBLE AS perccum FROM (SELECT category, host AS hostname, count(*)::BIGINT AS n FROM every GROUP BY 1, 2))"),
+        "series_two_periods": _with("tw", "SELECT c.bin, coalesce(n_all, 0)::BIGINT AS n_all, coalesce(n_no, 0)::BIGINT AS n_no_retweet, coalesce(n_off, 0)::BIGINT AS n_official FROM (SELECT p, unnest(generate_series(min(bin), max(bin), INTERVAL 1 HOUR)) AS bin FROM g GROUP BY p) c LEFT JOIN g USING (p, bin)",
+            "g AS (SELECT CASE WHEN datetime_est < TIMESTAMP '2024-01-10' THEN 1 ELSE 2 END AS p, time_bucket(INTERVAL 1 HOUR, datetime_est) AS bin, count(DISTINCT tweet_id) AS n_all, count(DISTINCT CASE WHEN retweeted_status = 0 THEN tweet_id END) AS n_no, count(DISTINCT CASE WHEN is_official THEN tweet_id END) AS n_off FROM tw "
+            "WHERE datetime_est >= TIMESTAMP '2024-01-01' AND datetime_est < TIMESTAMP '2024-01-10' OR datetime_est >= TIMESTAMP '2024-01-15' AND datetime_est < TIMESTAMP '2024-02-01' GROUP BY 1, 2)"),
+        "wide_frame": _with("hr url rk tw", "SELECT hr.bin, pro_even, pro_odd, pro_even + pro_odd AS tot, " + ", ".join(f"coalesce(m.{c}, 0)::BIGINT AS {c}, coalesce(f.{c}, 0)::BIGINT AS infl_{c}" for c in ("com", "net", "org")) + " FROM hr LEFT JOIN m USING (bin) LEFT JOIN f USING (bin)",
+            "m AS (SELECT time_bucket(INTERVAL 1 HOUR, datetime_est) AS bin, " + ", ".join(f"count(DISTINCT CASE WHEN category = '{c}' THEN tweet_id END) AS {c}" for c in ("com", "net", "org")) + " FROM url WHERE retweeted_status = 0 GROUP BY 1), "
+            "f AS (SELECT time_bucket(INTERVAL 1 HOUR, datetime_est) AS bin, " + ", ".join(f"count(DISTINCT CASE WHEN media_type = '{c}' THEN tweet_id END) AS {c}" for c in ("com", "net", "org")) + " FROM tw JOIN (SELECT * FROM rk WHERE rank < 100) k USING (user_id) GROUP BY 1)"),
+        "partial_correlations": _with("lg", "SELECT i, j, tau, round(CASE WHEN i <> j OR tau <> 1 THEN (xy - xz * yz) / nullif(sqrt((1 - xz ^ 2) * (1 - yz ^ 2)), 0) END, 6) AS value, n FROM r",
+            "r AS (SELECT a.series AS i, b.series AS j, l.tau::INTEGER AS tau, corr(a.value::DOUBLE, b.value::DOUBLE) AS xy, corr(a.value::DOUBLE, z.value::DOUBLE) AS xz, corr(b.value::DOUBLE, z.value::DOUBLE) AS yz, count(*)::BIGINT AS n FROM range(1, 4) l(tau), lg a, lg b, lg z WHERE b.bin = a.bin + INTERVAL 1 HOUR * l.tau AND z.series = b.series AND b.bin = z.bin + INTERVAL 1 HOUR GROUP BY 1, 2, 3)"),
         "katz_fixed_iter": _katz("se"),
         "katz_rev_fixed_iter": _katz("re"),
         "pagerank_rev": _power("re", 3, _PAGERANK, "SELECT user_id, 1.0::DOUBLE / (SELECT count(*) FROM vx) AS x FROM vx", "SELECT user_id, round(x, 9) AS pagerank FROM {x}"),

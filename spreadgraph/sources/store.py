@@ -62,11 +62,29 @@ def read_changed(spark: SparkSession, folder: str, after: str, pattern: str = "*
     return spark.read.option("modifiedAfter", after).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def read_sqlite(path: str, query: str, spark: SparkSession, schema: str) -> DataFrame:
-    """Rows of a local SQLite database by a read-only query: a border for old files, read on the driver batch by batch."""
+def attach(spark: SparkSession, name: str, folder: str, tables: Sequence[str]) -> None:
+    """Make the Parquet tables of another store known to SQL as ``<name>_<table>``."""
+    for table in tables:
+        spark.read.parquet(f"{folder}/{table}.parquet").createOrReplaceTempView(f"{name}_{table}")
+
+
+def write_client_map(clients: DataFrame, path: str) -> None:
+    """Write a client map (``source_id, source_content``) as a table; an older one at the path is replaced whole."""
+    clients.select(F.col("source_id").cast("int").alias("source_id"), "source_content").write.mode("overwrite").parquet(path)
+
+
+def read_sqlite(path: str, query: str, spark: SparkSession, schema: str, attached: Mapping[str, str] | None = None) -> DataFrame:
+    """Rows of a local SQLite database by a read-only query: a border for old files, read on the driver batch by batch.
+
+    ``attached`` names further databases that the query may read; all are opened read-only.
+    """
     import sqlite3
 
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        for name, other in (attached or {}).items():
+            if not name.isidentifier():
+                raise ValueError(f"{name!r} can't name a database")
+            db.execute(f"ATTACH ? AS {name}", (f"file:{other}?mode=ro",))
         cursor = db.execute(query)
         parts = []
         while rows := cursor.fetchmany(100_000):
@@ -77,14 +95,30 @@ def read_sqlite(path: str, query: str, spark: SparkSession, schema: str) -> Data
     return out
 
 
+_XML_TYPES = {"bigint": "long", "int": "int", "double": "double", "float": "float", "boolean": "boolean"}
+
+
+def _attributes(rows: DataFrame, but: Sequence[str], kind: str) -> tuple[list[str], F.Column]:
+    """The key lines of the columns that are no ids, and the data elements of a row; nulls have none."""
+    named = [(c, t) for c, t in rows.dtypes if c not in but]
+    keys = [f'<key id="{kind}_{c}" for="{kind}" attr.name="{c}" attr.type="{_XML_TYPES.get(t, "string")}"/>' for c, t in named]
+    plain = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return keys, F.concat(F.lit(""), *[F.coalesce(F.concat(F.lit(f'<data key="{kind}_{c}">'), plain(c), F.lit("</data>")), F.lit("")) for c, _ in named])
+
+
 def graphml(graph: SpreadGraph) -> DataFrame:
-    """``line``: the graph as GraphML text, in order within each part; write with ``write.text`` (ids are the users' ids)."""
-    head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="directed">'
+    """``line``: the graph as GraphML text with the attributes of its vertices and edges, in order; write with ``write.text``.
+
+    The lines are range-partitioned by part and id, so no task holds all vertices or edges.
+    """
     spark = graph.edges.sparkSession
-    nodes = graph.vertices.select(F.format_string('<node id="n%d"/>', "user_id").alias("line"), F.lit(1).alias("part"))
-    edges = graph.edges.select(F.format_string('<edge source="n%d" target="n%d"/>', "src", "dst").alias("line"), F.lit(2).alias("part"))
-    ends = spark.createDataFrame([(head, 0), ("</graph></graphml>", 3)], "line string, part int")
-    return ends.unionByName(nodes).unionByName(edges).orderBy("part").select("line")
+    node_keys, node_data = _attributes(graph.vertices, ["user_id"], "node")
+    edge_keys, edge_data = _attributes(graph.edges, ["src", "dst"], "edge")
+    head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + "".join(node_keys + edge_keys) + '<graph edgedefault="directed">'
+    nodes = graph.vertices.select(F.concat(F.format_string('<node id="n%d">', "user_id"), node_data, F.lit("</node>")).alias("line"), F.lit(1).alias("part"), F.col("user_id").alias("id"))
+    edges = graph.edges.select(F.concat(F.format_string('<edge source="n%d" target="n%d">', "src", "dst"), edge_data, F.lit("</edge>")).alias("line"), F.lit(2).alias("part"), F.col("src").alias("id"))
+    ends = spark.createDataFrame([(head, 0, 0), ("</graph></graphml>", 3, 0)], "line string, part int, id long")
+    return ends.unionByName(nodes).unionByName(edges).orderBy("part", "id", "line").select("line")
 
 
 def latex(rows: DataFrame, decimals: Mapping[str, int] | None = None, limit: int = 1000) -> str:

@@ -13,11 +13,37 @@ from pyspark.sql import functions as F
 
 #: Clients that count as official.
 OFFICIAL = ("click", "view")
+#: The names of the study's 18 official clients, for tables that hold real client names.
+OFFICIAL_CLIENTS = (
+    "Twitter for iPhone",
+    "Twitter for Android",
+    "Twitter Web Client",
+    "Twitter for iPad",
+    "Mobile Web (M5)",
+    "TweetDeck",
+    "Facebook",
+    "Twitter for Windows",
+    "Mobile Web (M2)",
+    "Twitter for Windows Phone",
+    "Mobile Web",
+    "Google",
+    "Twitter for BlackBerry",
+    "Twitter for Android Tablets",
+    "Twitter for Mac",
+    "iOS",
+    "Twitter for BlackBerry®",
+    "OS X",
+)
 #: Interaction kind by event type.
 KINDS = {"view": "retweet", "click": "reply", "purchase": "mention", "signup": "quote"}
 HOST = r"^[a-z]+://([^/:?#]+)"
 
 
+def is_official(client: F.Column, names: Sequence[str] = OFFICIAL_CLIENTS) -> F.Column:
+    """Whether a post came from an official client; an unknown client is none."""
+    return F.coalesce(client.isin(*names), F.lit(False))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

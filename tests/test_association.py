@@ -77,3 +77,24 @@ def test_loess_of_a_line_is_the_line():
 def test_short_series_have_null_parts(spark):
     rows = spark.sql("select 'a' as series, timestamp_ntz'2024-01-01 00:00:00' as bin, 1.0D as value")
     assert stl_components(rows, 24).where(F.col("trend").isNull() | F.isnan("trend")).count() == 1
+
+
+def test_partial_correlations_and_their_test(spark):
+    import math
+
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=400)
+    b = np.zeros(400)
+    for t in range(1, 400):
+        b[t] = 0.6 * b[t - 1] + 0.5 * a[t - 1] + 0.3 * rng.normal()
+    long = spark.createDataFrame([(t, s, float(x[t])) for s, x in (("a", a), ("b", b)) for t in range(400)], "bin int, series string, value double")
+    got = {(r["i"], r["j"], r["tau"]): r for r in assoc.independence_tests(assoc.partial_correlations(long, 2, "1")).collect()}
+    for tau in (1, 2):
+        x, y, z = a[: 400 - tau], b[tau:], b[tau - 1 : 399]
+        left = lambda v: v - np.polyval(np.polyfit(z, v, 1), z)  # noqa: E731, B023
+        r = np.corrcoef(left(x), left(y))[0, 1]
+        row = got["a", "b", tau]
+        assert row["value"] == pytest.approx(r, abs=1e-9) and row["n"] == 400 - tau
+        assert row["p"] == pytest.approx(math.erfc(abs(math.atanh(r)) * math.sqrt(400 - tau - 4) / math.sqrt(2)), abs=1e-12)
+    assert got["a", "b", 1]["p"] < 1e-6 < 0.01 < got["b", "a", 1]["p"]
+    assert got["a", "a", 1]["value"] is None and got["a", "a", 1]["p"] is None

@@ -1,3 +1,4 @@
+import numpy as np
 import itertools
 import random
 
@@ -134,3 +135,32 @@ def test_power_iterations(spark):
     assert {r["pagerank"] for r in centrality.pagerank(g, rounds=7).collect()} == {0.5}
     assert [round(r["eigenvec"], 9) for r in centrality.eigenvector(g, 4).collect()] == [0.707106781] * 2
     assert centrality.katz(g, 0.5, 1.0, 60).collect()[0]["katz"] == pytest.approx(2.0)
+
+
+def test_power_iterations_until_they_stand(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (1, 3), (4, 1), (5, 4)]
+    g = make(spark, edges)
+    n, at = 5, {v: i for i, v in enumerate((1, 2, 3, 4, 5))}
+    a = np.zeros((n, n))
+    for s, t in edges:
+        a[at[t], at[s]] += 1
+    values = lambda df, c: [r[c] for r in df.orderBy("user_id").collect()]
+    assert values(centrality.katz(g, 0.1, 1.0, 200, epsilon=1e-12), "katz") == pytest.approx(np.linalg.solve(np.eye(n) - 0.1 * a, np.ones(n)).tolist(), abs=1e-9)
+    walk = a / np.maximum(a.sum(0), 1)
+    rank = np.linalg.solve(np.eye(n) - 0.5 * walk, np.full(n, 0.5 / n))
+    assert values(centrality.pagerank(g, 0.5, 200, epsilon=1e-10), "pagerank") == pytest.approx(rank.tolist(), abs=1e-8)
+    wide = np.linalg.eig(a)
+    lead = np.abs(np.real(wide.eigenvectors[:, np.argmax(np.real(wide.eigenvalues))]))
+    assert values(centrality.eigenvector(g, 200, epsilon=1e-8), "eigenvec") == pytest.approx((lead / np.linalg.norm(lead)).tolist(), abs=1e-5)
+    assert centrality.katz(g, 0.1, 1.0, 2, epsilon=0.0).count() == 5  # rounds are the limit
+
+
+def test_enriched_vertices_hold_the_adaptive_ranking(spark):
+    vertices = spark.createDataFrame([(v,) for v in [*range(1, 9), 50]], "user_id long")
+    g = SpreadGraph(vertices, make(spark, DAG).edges)
+    got = {r["user_id"]: r for r in influence.enriched_vertices(g).collect()}
+    assert set(got) == {*range(1, 9), 50}
+    for way in ("out", "in"):
+        want = {v: (c, i) for i, (v, c) in enumerate(influence.adaptive_ranking(list(got), DAG, 2, way))}
+        assert {v: (r[f"ci_{way}"], r[f"place_{way}"]) for v, r in got.items()} == {v: want.get(v, (0, None)) for v in got}
+    assert got[50]["katz"] == pytest.approx(1.0) and got[50]["k_out"] == 0

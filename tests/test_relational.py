@@ -155,6 +155,48 @@ def test_store(spark, tmp_path):
     assert store.read_sqlite(str(tmp_path / "x.db"), "select a from t", spark, "a int").count() == 2
 
 
+def test_graphml_holds_attributes_in_order(spark):
+    from xml.dom.minidom import parseString
+
+    v = spark.createDataFrame([(2, "a<b&c", 0.5), (1, None, 1.5)], "user_id long, name string, katz double")
+    e = spark.createDataFrame([(2, 1, True), (1, 2, None)], "src long, dst long, is_official boolean")
+    lines = [r["line"] for r in store.graphml(SpreadGraph(v, e)).collect()]
+    doc = parseString("".join(lines))
+    assert [n.getAttribute("id") for n in doc.getElementsByTagName("node")] == ["n1", "n2"]
+    data = [(n.getAttribute("key"), n.firstChild.data) for n in doc.getElementsByTagName("data")]
+    assert data == [("node_katz", "1.5"), ("node_name", "a<b&c"), ("node_katz", "0.5"), ("edge_is_official", "true")]
+    assert {(k.getAttribute("id"), k.getAttribute("attr.type")) for k in doc.getElementsByTagName("key")} == {("node_name", "string"), ("node_katz", "double"), ("edge_is_official", "boolean")}
+
+
+def test_attached_stores_and_client_maps(spark, tmp_path):
+    import sqlite3
+
+    for name, value in (("a", 1), ("b", 2)):
+        with sqlite3.connect(tmp_path / f"{name}.db") as db:
+            db.execute("create table t (x int)")
+            db.execute("insert into t values (?)", (value,))
+    got = store.read_sqlite(str(tmp_path / "a.db"), "select t.x + o.x as s from t, other.t o", spark, "s int", {"other": str(tmp_path / "b.db")})
+    assert [r["s"] for r in got.collect()] == [3]
+    with pytest.raises(ValueError):
+        store.read_sqlite(str(tmp_path / "a.db"), "select 1", spark, "s int", {"x; drop": "b"})
+    for rows in ([(0, "web")], [(0, "web"), (1, "phone")]):
+        store.write_client_map(spark.createDataFrame(rows, "source_id long, source_content string"), f"file://{tmp_path}/map/clients.parquet")
+    store.attach(spark, "urls", f"file://{tmp_path}/map", ["clients"])
+    assert spark.sql("select count(*) as n from urls_clients").first()["n"] == 2
+
+
+def test_official_clients_and_joined_series(spark):
+    from spreadgraph.sources import tables
+
+    assert len(set(tables.OFFICIAL_CLIENTS)) == 18
+    rows = spark.createDataFrame([("iOS",), ("bot",), (None,)], "c string")
+    assert [r["o"] for r in rows.select(tables.is_official(F.col("c")).alias("o")).collect()] == [True, False, False]
+    one = spark.createDataFrame([(1, 2, 3)], "bin int, a int, b int")
+    two = spark.createDataFrame([(9, 1, 1)], "bin int, a int, b int")
+    both = series.with_total(series.join_periods(one, two), ("a", "b"))
+    assert {tuple(r) for r in series.wide_frame(both, one.select("bin", F.col("a").alias("m"))).collect()} == {(1, 2, 3, 5, 2), (9, 1, 1, 2, 0)}
+
+
 def test_streamed_counts(spark, tmp_path):
     from spreadgraph.streaming.counts import windowed_counts
 
