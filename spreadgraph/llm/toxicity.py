@@ -203,12 +203,12 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs:
     moments = [np.zeros(m), np.zeros(m), np.zeros((m, rank)), np.zeros((m, rank)), 0.0, 0.0]
     lr, b1, b2, l1 = 0.1, 0.9, 0.99, 5e-5
     for t in range(1, epochs + 1):
-        s = per_doc(v[cols])
-        q = per_doc((v**2)[cols].sum(1))
+        s = np.stack([per_doc(np.ascontiguousarray(f)[cols]) for f in v.T], 1)  # factor by factor: the arrays are as long as all documents' terms
+        q = per_doc((v**2).sum(1)[cols])
         z = bias + per_doc(w[cols]) + 0.5 * ((s**2).sum(1) - q)
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         gw = np.add.reduceat(g[col_rows], col_start) if m else np.zeros(0)
-        gv = (np.add.reduceat(g[col_rows, None] * s[col_rows], col_start, axis=0) - gw[:, None] * v) if m else v
+        gv = (np.stack([np.add.reduceat((g * f)[col_rows], col_start) for f in s.T], 1) - gw[:, None] * v) if m else v
         gb = g.sum()
         for i, grad in ((0, gw), (2, gv), (4, gb)):
             moments[i] = b1 * moments[i] + (1 - b1) * grad
