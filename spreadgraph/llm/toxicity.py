@@ -7,6 +7,7 @@ of labelled rows and applied to whole texts on the executors; only the model is
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -104,12 +105,12 @@ def telling_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, df: np.ndarr
     if m < 2 or not 0 < share < 1:  # no pair, or no label to tell
         return found
     needed = np.log(m * (m - 1) / 2 / FALSE_PAIRS)
-    positive = np.bincount(term, weights=y[doc], minlength=len(df)).astype(np.int64)
+    positive = np.bincount(term[(y > 0)[doc]], minlength=len(df))
     own_share = positive / np.maximum(df, 1)
     # of label 1, and of both: what a pair of one label only must have
     least_positive, least_both = max(least_docs, needed / -np.log(share)), max(least_docs, needed / -np.log(1 - share))
     able = np.flatnonzero((df >= least_docs) & ((positive >= least_positive) | (df >= least_both)))
-    at = np.full(len(df), -1)
+    at = np.full(len(df), -1, np.int32)
     at[able] = np.arange(len(able))
     use = at[term] >= 0
     rows, cols = at[term[use]], doc[use]
@@ -119,7 +120,10 @@ def telling_pairs(doc: np.ndarray, term: np.ndarray, y: np.ndarray, df: np.ndarr
     place = np.empty(len(y), np.int64)
     place[order] = np.concatenate((np.arange(n_first), words * 64 + np.arange(len(y) - n_first)))
     bits = np.zeros((len(able), words + -(-(len(y) - n_first) // 64)), np.uint64)
-    np.bitwise_or.at(bits, (rows, place[cols] >> 6), np.uint64(1) << (place[cols] & 63).astype(np.uint64))
+    for k in range(0, len(rows), 1 << 18):
+        where = place[cols[k : k + (1 << 18)]]
+        np.bitwise_or.at(bits, (rows[k : k + (1 << 18)], where >> 6), np.uint64(1) << (where & 63).astype(np.uint64))
+    del use, rows, cols
     # terms of the same documents (a word and its beginnings) are tested once
     _, one, same = np.unique(bits.view(np.dtype((np.void, bits.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
     bits, every, able = bits[one], able, able[one]
@@ -171,19 +175,31 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, rank: int = RANK, epochs:
     none = np.empty(0, np.int64)
     if not len(y) or y.min() == y.max():
         return FactorizationMachine(none, np.empty(0), np.empty((0, rank)), -30.0 if not len(y) or y[0] == 0 else 30.0)
-    terms, inverse, df = np.unique(np.concatenate(samples), return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(len(samples), dtype=np.int32), [len(s) for s in samples])
-    positive = np.bincount(inverse, weights=y[doc], minlength=len(terms))
+    # counts by bucket, document by document; only terms of enough documents are numbered
+    df = np.zeros(1 + max((int(s[-1]) for s in samples if len(s)), default=0), np.int64)
+    for s in samples:
+        df[s] += 1
+    terms, number = np.flatnonzero(df >= least_docs), np.full(len(df), -1, np.int32)
+    number[terms] = np.arange(len(terms))
+    held = [own[own >= 0] for own in (number[s] for s in samples)]
+    inverse, doc = np.concatenate(held), np.repeat(np.arange(len(samples), dtype=np.int32), [len(s) for s in held])
+    df, positive = df[terms], np.zeros(len(terms))
+    for s in (s for s, label in zip(held, y, strict=True) if label):
+        positive[s] += 1
     share = y.mean()
     often = (df >= least_docs) & (np.abs(positive - df * share) >= least_z * np.sqrt(df * share * (1 - share)))
     # pairs that tell more than their terms alone; documents of equal terms count once, for copies are no further evidence
     once = np.zeros(len(samples), bool)
-    once[list({(s.tobytes(), label): i for i, (s, label) in enumerate(zip(samples, y, strict=True))}.values())] = True
+    once[list({(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), label): i for i, (s, label) in enumerate(zip(samples, y, strict=True))}.values())] = True
+    df_once = np.zeros(len(terms), np.int64)
+    for s in (s for s, first in zip(held, once, strict=True) if first):
+        df_once[s] += 1
+    del held
     single = once[doc]
-    often |= telling_pairs((np.cumsum(once) - 1)[doc[single]], inverse[single], y[once], np.bincount(inverse[single], minlength=len(terms)), least_docs)
+    often |= telling_pairs((np.cumsum(once) - 1).astype(np.int32)[doc[single]], inverse[single], y[once], df_once, least_docs)
     new = np.cumsum(often) - 1
     use = often[inverse]
-    cols, rows, terms = new[inverse][use], doc[use], terms[often]
+    cols, rows, terms = new[inverse[use]], doc[use], terms[often]
     n, m = len(samples), len(terms)
     rng = np.random.default_rng(seed)
     # each label weighs half
