@@ -13,6 +13,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -76,12 +78,31 @@ def release(*tables: DataFrame) -> None:
             _written[:] = [w for w in _written if w[1] != path]
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Delete at the end all tables that ``keep`` wrote meanwhile: for callers that write or collect each result inside.
+
+    Frames made inside are of no use afterwards, unless their rows were written elsewhere. Scopes nest; tables written before stay.
+    """
+    before = {path for _, path in _written}
+    try:
+        yield
+    finally:
+        for spark, path in [w for w in _written if w[1] not in before]:
+            _remove(spark, path)
+        _written[:] = [w for w in _written if w[1] in before]
+
+
 #: Rows of an Arrow batch to and from Python workers: whole documents can be long, and a worker holds a batch at a time.
 ARROW_ROWS = 256
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, for jobs that were not submitted with it; keep Arrow batches small."""
+    """Send this package to the executors, once per application, for jobs that were not submitted with it; keep Arrow batches small.
+
+    The session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` falls to ARROW_ROWS and stays there, for lazy results read it when they
+    run; a lower value stays as it is. Callers whose own Arrow work wants longer batches set it again once the results are written.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
