@@ -1,9 +1,10 @@
 """Packing token sequences by a configuration linear program over the histogram of piece lengths.
 
 A configuration is a multiset of lengths that fits one sequence. Multiplicative weights price the lengths by how little of each is
-covered so far, a knapsack dynamic program finds the configuration of the highest price, and the fractional solution is rounded
-as far as the pieces reach; what rounding leaves goes through the same program again and at last through best fit on the histogram. All of it works on
-counts per length, so its cost depends on the capacity and not on the number of pieces.
+covered so far, a knapsack dynamic program finds the configurations of the highest price, one around each length that lags, and each
+is used as often as whole sequences of it can be filled. A program covers all but REST of the tokens; best fit places those. Lengths that
+ended up in badly filled sequences are priced higher in the next program, until the lower bound is met. All of it works on counts per
+length, so its cost depends on the capacity and not on the number of pieces.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ END_ID = 0
 REMEMBERED = 3_000_000
 #: Bytes of text encoded at once.
 AT_ONCE = 3 << 20
-#: Pricing steps of one program, and programs on what rounding leaves.
-STEPS = 240
-PROGRAMS = 2
+#: Programs at most, each with prices corrected by the one before; the best plan counts.
+PROGRAMS = 6
+#: Lengths around which one pricing step looks for configurations.
+LAGGING = 64
+#: Share of the tokens that a program leaves to best fit.
+REST = 1 / 256
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -143,54 +147,82 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def best_config(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of the highest total price within the capacity (unbounded knapsack), by dynamic programming."""
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if n := fits[c]:
-            with_item = best[c - lengths[:n]] + prices[:n]
-            i = int(with_item.argmax())
-            if with_item[i] > best[c]:
-                best[c], took[c] = with_item[i], lengths[i]
-    out: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if took[c]:
-            out[int(took[c])] += 1
-            c -= took[c]
-        else:
-            c -= 1
-    return out
+class Knapsack:
+    """The multisets of lengths of the highest total price for every capacity up to one, each length at most ``most`` times.
 
+    Counts are split into powers of two, so a length is a few items of a dynamic program over 0 or 1 of each. One bit an item and
+    capacity says whether the item was taken.
+    """
 
-def fractional(demand: dict[int, int], capacity: int, steps: int = STEPS, rate: float = 0.5) -> dict[Config, float]:
+    def __init__(self, prices: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int):
+        item, times = [], []
+        for i, (x, m) in enumerate(zip(lengths.tolist(), most.tolist(), strict=True)):
+            left, k = min(int(m), capacity // x), 1
+            while left > 0:
+                k = min(k, left)
+                item.append(i)
+                times.append(k)
+                left, k = left - k, 2 * k
+        self.lengths, self.item, self.times = lengths, item, times
+        self.taken = np.zeros((len(item), capacity // 8 + 1), np.uint8)
+        best, flag = np.zeros(capacity + 1), np.empty(capacity + 1, bool)
+        for j, (i, k) in enumerate(zip(item, times, strict=True)):
+            size = int(lengths[i]) * k
+            with_item, without = best[:-size] + prices[i] * k, best[size:]
+            flag[:size] = False
+            np.greater(with_item, without, out=flag[size:])
+            np.copyto(without, with_item, where=flag[size:])
+            self.taken[j] = np.packbits(flag)
+
+    def config(self, capacity: int) -> Counter:
+        out: Counter = Counter()
+        j = len(self.item)
+        while (at := np.flatnonzero(self.taken[:j, capacity >> 3] & (128 >> (capacity & 7)))).size:
+            j = int(at[-1])
+            x, k = int(self.lengths[self.item[j]]), self.times[j]
+            out[x] += k
+            capacity -= x * k
+        return out
+
+
+def best_config(prices: np.ndarray, lengths: np.ndarray, capacity: int, table: Knapsack | None = None) -> Counter:
+    """The multiset of lengths of the highest total price within the capacity, read from a table of the same prices if one is given."""
+    return (table or Knapsack(prices, lengths, capacity // lengths, capacity)).config(capacity)
+
+
+def fractional(demand: dict[int, int], capacity: int, worth: np.ndarray | None = None, rate: float = 0.1) -> dict[Config, int]:
     """Multiplicative weights for: as few sequences as can be, each length covered as often as demanded.
 
-    A length's weight falls with the share of its demand covered so far. Each step covers the lengths of the best configuration up
-    to an even share of the scarcest one's demand. The result is scaled so that no length is covered beyond its demand.
+    ``worth`` is the price of a token of each length, ascending (1 if not given). A length's price falls with the share of its demand
+    covered so far. Each step completes the LAGGING least covered lengths, longest first, to their best configurations and uses each
+    of these until the scarcest of its lengths is gone, a whole number of times. No length is covered beyond its demand, and
+    all but REST of the tokens are covered.
     """
     lengths = np.array(sorted(demand))
-    need = np.array([demand[x] for x in lengths], float)
-    covered, used = np.zeros(len(lengths)), Counter()
-    at = {int(x): i for i, x in enumerate(lengths)}
-    weight = np.ones(len(lengths))
-    for step in range(steps):
-        # a length's price: its share of capacity, raised while it lags behind the mean cover
-        prices = lengths * weight
-        config = best_config(prices, lengths, capacity)
-        if not config:
-            break
-        own = np.array([at[x] for x in config])
-        many = np.array([config[x] for x in config], float)
-        amount = float((need[own] / many).min()) * max(0.02, 2.0 / (step + 2))
-        used[tuple(sorted(config.items(), reverse=True))] += amount
-        covered[own] += many * amount
-        done = covered / need
-        weight = np.exp(-rate * (done - done.min()) / max(done.mean(), 1e-12))
-    over = float((covered / need).max())
-    return {c: x / over for c, x in used.items()} if over > 0 else {}
+    need = np.array([demand[x] for x in lengths.tolist()])
+    value = lengths * (np.ones(len(lengths)) if worth is None else worth)
+    at = {x: i for i, x in enumerate(lengths.tolist())}
+    left, used = need.copy(), Counter()
+    while (lengths * left).sum() > REST * (lengths * need).sum():
+        live = np.flatnonzero(left)
+        done = 1 - left[live] / need[live]
+        prices = value[live] * np.exp(-rate * (done - done.min()))
+        table = Knapsack(prices, lengths[live], left[live], capacity)
+        covered = False
+        lagging = live[np.lexsort((-lengths[live], done))[:LAGGING]]
+        for i in (*lagging.tolist(), None):
+            if i is None and covered:
+                break
+            # the best configuration around a length, or of all if this step's others ran out of pieces
+            config = best_config(prices, lengths[live], capacity - (0 if i is None else int(lengths[i])), table)
+            if i is not None:
+                config[int(lengths[i])] += 1
+            own, many = np.array([at[x] for x in config]), np.array(list(config.values()))
+            if whole := int((left[own] // many).min()):
+                left[own] -= whole * many
+                used[tuple(sorted(config.items(), reverse=True))] += whole
+                covered = True
+    return dict(used)
 
 
 def best_fit(demand: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
@@ -228,21 +260,28 @@ def solve(demand: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Config
     out: Counter = Counter()
     if capacity in left:
         out[((capacity, 1),)] += left.pop(capacity)
-    for _ in range(PROGRAMS):
-        if not left:
-            break
-        before = sum(left.values())
-        for config, x in sorted(fractional(left, capacity).items(), key=lambda t: -t[1]):
-            whole = min(max(1, int(x + 0.5)), *(left.get(length, 0) // k for length, k in config))
-            if whole > 0:
-                out[config] += whole
-                for length, k in config:
-                    left[length] -= whole * k
-        left = {x: n for x, n in left.items() if n}
-        if sum(left.values()) == before:  # nothing more rounds to a sequence
+    lengths = np.array(sorted(left))
+    worth, bound = np.ones(len(lengths)), -(-sum(x * n for x, n in left.items()) // capacity)
+    at = {x: i for i, x in enumerate(lengths.tolist())}
+    best: Counter | None = None
+    for _ in range(PROGRAMS if left else 0):
+        plan, rest = Counter(fractional(left, capacity, worth)), dict(left)
+        for config, n in plan.items():
+            for x, k in config:
+                rest[x] -= n * k
+        for config, n in best_fit({x: n for x, n in rest.items() if n}, capacity):
+            plan[config] += n
+        if best is None or plan.total() < best.total():
+            best = plan
+        if best.total() <= bound:
             break
-    for config, n in best_fit(left, capacity):
-        out[config] += n
+        cost = np.zeros(len(lengths))  # of a length's tokens: what its sequences would hold if full, to what they hold
+        for config, n in plan.items():
+            full = capacity / sum(x * k for x, k in config)
+            for x, k in config:
+                cost[at[x]] += n * k * full / left[x]
+        worth = (worth + cost) / 2
+    out.update(best or {})
     return sorted(out.items())
 
 

@@ -239,6 +239,40 @@ def test_the_program_prices_small_histograms_too(monkeypatch):
     assert sum(n for _, n in plan) <= sum(n for _, n in best_fit(demand, 2048))
 
 
+def test_the_program_covers_the_demand_and_leaves_a_little_to_best_fit(monkeypatch):
+    rng = np.random.default_rng(1)
+    dense = dict(Counter(np.clip(np.exp(rng.normal(4.5, 1, 20_000)).astype(int), 1, 511).tolist()))
+    even = dict.fromkeys(range(1, 512), 40)
+    few = dict.fromkeys(range(100, 250), 20)  # lengths that fill a sequence badly
+    left = []
+    monkeypatch.setattr(packing, "best_fit", lambda rest, c: left.append(sum(x * n for x, n in rest.items())) or best_fit(rest, c))
+    for demand, most in ((dense, 2), (even, 0), (few, 70)):
+        tokens = sum(x * n for x, n in demand.items())
+        held = Counter()
+        for config, n in packing.fractional(demand, 512).items():
+            assert n > 0 and sum(x * k for x, k in config) <= 512
+            for x, k in config:
+                held[x] += n * k
+        assert all(n <= demand[x] for x, n in held.items())
+        assert sum(x * n for x, n in held.items()) >= 0.99 * tokens
+        left.clear()
+        used = sum(n for _, n in solve(demand, 512))
+        assert left and max(left) <= 0.01 * tokens
+        assert used <= -(-tokens // 512) + most
+        assert used <= sum(n for _, n in best_fit(demand, 512))
+
+
+def test_knapsack_with_counts_equals_brute_force():
+    prices, lengths, most = np.array([3.0, 4.5, 7.9]), np.array([2, 3, 5]), np.array([1, 3, 2])
+    table = packing.Knapsack(prices, lengths, most, 23)
+    worth = lambda config: sum(prices[lengths.tolist().index(x)] * k for x, k in config.items())
+    for room in range(24):
+        config = best_config(prices, lengths, room, table)
+        best = max(a * 3 + b * 4.5 + c * 7.9 for a in range(2) for b in range(4) for c in range(3) if 2 * a + 3 * b + 5 * c <= room)
+        assert worth(config) == pytest.approx(best)
+        assert sum(x * k for x, k in config.items()) <= room and all(config[x] <= m for x, m in zip(lengths.tolist(), most.tolist(), strict=True))
+
+
 def test_best_config_equals_brute_force():
     prices, lengths = np.array([3.0, 4.5, 7.9]), np.array([2, 3, 5])
     config = best_config(prices, lengths, 11)
