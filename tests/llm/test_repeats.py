@@ -78,6 +78,16 @@ def test_rows_in_any_order(spark, monkeypatch):
     assert got == {**{i + 2**60: w for i, w in enumerate(want[:-1])}, None: want[-1]}
 
 
+def test_minimizers_spread_over_the_counting_buckets(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 40_000)
+    kept, keep = {}, repeats.keep
+    monkeypatch.setattr(repeats, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
+    rng = random.Random(8)
+    find_repeats(spark.createDataFrame([(i, words(rng, 400)) for i in range(100)], "doc_id long, text string"))
+    sizes = [r["n"] for r in kept["runs"].where("kind = 'entries'").groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("n")).collect()]
+    assert len(sizes) == 64 and max(sizes) < 0.1 * sum(sizes)
+
+
 def test_very_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "AT_ONCE", 1500)
     compare(spark, sample())
